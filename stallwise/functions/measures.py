@@ -1,7 +1,9 @@
 """Counting, ratio and rounding expressions.
 
-Money and ratios stay in decimal until the last step. Rounding is half away from
-zero on the exact decimal, and only the rounded value becomes a double.
+Sums are 64-bit integers: counts, days, and money in cents, which aggregate and
+shuffle at a fraction of the cost of wide decimals and stay exact. Ratios are
+formed in decimal and rounded half away from zero; only the rounded value becomes
+a double.
 """
 
 from __future__ import annotations
@@ -9,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Widths that leave Spark's decimal division at least ten fractional digits.
-_WIDE_MONEY = "decimal(24,2)"
-_WIDE_COUNT = "decimal(18,0)"
+# Leaves the decimal division of two sums at least fourteen fractional digits.
+_SUM = "decimal(20,0)"
 
 
 def count_rows() -> Column:
@@ -33,24 +34,29 @@ def total(column: Column | str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-def money(column: Column | str) -> Column:
-    """A decimal amount as a double with two places."""
-    return F.round(_col(column), 2).cast("double")
+def cents(amount: Column | str) -> Column:
+    """A decimal amount of two places as a whole number of cents."""
+    return (_col(amount) * 100).cast("bigint")
 
 
-def mean(amount: Column | str, count: Column | str, places: int) -> Column:
-    """Rounded amount per count; NULL when the count is 0."""
-    return _rounded(_col(amount).cast(_WIDE_MONEY), _col(count).cast(_WIDE_COUNT), places)
+def money(cent_sum: Column | str) -> Column:
+    """Cents as a double with two places."""
+    return (_col(cent_sum).cast(_SUM) / 100).cast("double")
+
 
+def mean(part: Column | str, count: Column | str, places: int) -> Column:
+    """Rounded sum per count; NULL when the count is 0."""
+    return _rounded(_col(part).cast(_SUM), _col(count).cast(_SUM), places)
 
-def percent(part: Column | str, whole: Column | str, places: int = 2) -> Column:
-    """Rounded percentage of two counts; NULL when the whole is 0."""
-    return _rounded(_col(part).cast(_WIDE_COUNT) * F.lit(100), _col(whole).cast(_WIDE_COUNT), places)
+
+def mean_money(cent_sum: Column | str, count: Column | str) -> Column:
+    """Rounded amount per count; NULL when the count is 0."""
+    return _rounded(_col(cent_sum).cast(_SUM), _col(count).cast(_SUM) * 100, 2)
 
 
-def money_percent(part: Column | str, whole: Column | str, places: int = 2) -> Column:
-    """Rounded percentage of two amounts; NULL when the whole is 0."""
-    return _rounded(_col(part).cast(_WIDE_MONEY) * F.lit(100), _col(whole).cast(_WIDE_MONEY), places)
+def percent(part: Column | str, whole: Column | str) -> Column:
+    """Rounded percentage of two sums; NULL when the whole is 0."""
+    return _rounded(_col(part).cast(_SUM) * 100, _col(whole).cast(_SUM), 2)
 
 
 def _rounded(numerator: Column, denominator: Column, places: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.functions.measures import count_rows, money_percent
+from stallwise.functions.measures import count_rows, percent
 
 
 def fold(
@@ -37,8 +37,8 @@ def _named(columns: Mapping[str, Column]) -> list[Column]:
 
 
 def with_share_of_total(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Each group's percentage of the total amount; input is a grouped report."""
-    return df.withColumn(name, money_percent(value, F.sum(value).over(Window.partitionBy())))
+    """Each group's percentage of the total; input is a grouped report."""
+    return df.withColumn(name, percent(value, F.sum(value).over(Window.partitionBy())))
 
 
 def period_growth(df: DataFrame, periods: Sequence[str], value: str, previous: str, growth: str) -> DataFrame:
@@ -49,7 +49,7 @@ def period_growth(df: DataFrame, periods: Sequence[str], value: str, previous: s
     """
     by_period = Window.orderBy(*[F.col(p).asc_nulls_first() for p in periods])
     with_previous = df.withColumn(previous, F.lag(value).over(by_period))
-    return with_previous.withColumn(growth, money_percent(F.col(value) - F.col(previous), previous))
+    return with_previous.withColumn(growth, percent(F.col(value) - F.col(previous), previous))
 
 
 def fill_months(df: DataFrame, year: str, month: str) -> DataFrame:

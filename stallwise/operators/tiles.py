@@ -20,8 +20,9 @@ from math import ceil, floor, sqrt
 from operator import or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4096
 FETCH_ROWS = 4096
@@ -31,69 +32,54 @@ _HASH_SPAN = 1 << 30
 
 @dataclass(frozen=True)
 class SortKey:
-    """A sort column. NULL is the lowest value: first ascending, last descending."""
+    """A sort column. NULL is the lowest value: first ascending, last descending.
+
+    Descending columns are numeric, as they are compared by their negative.
+    """
 
     name: str
     ascending: bool = True
 
-    def same(self, value: Any, kind: Any) -> Column:
-        return F.col(self.name).isNull() if value is None else F.col(self.name).eqNullSafe(F.lit(value).cast(kind))
-
-    def precedes(self, value: Any, kind: Any) -> Column:
+    def fields(self) -> list[Column]:
         column = F.col(self.name)
-        if value is None:
-            return F.lit(False) if self.ascending else column.isNotNull()
-        literal = F.lit(value).cast(kind)
         if self.ascending:
-            return column.isNull() | F.coalesce(column < literal, F.lit(False))
-        return F.coalesce(column > literal, F.lit(False))
-
-
-class Ordering:
-    """A total order over rows, given by sort keys whose last ones break ties."""
-
-    def __init__(self, df: DataFrame, keys: Sequence[SortKey]):
-        self.keys = tuple(keys)
-        self.names = [k.name for k in keys]
-        self._kinds = [df.schema[k.name].dataType for k in keys]
+            return [column.alias(self.name)]
+        return [column.isNull().alias(f"{self.name}_last"), (-column).alias(self.name)]
 
-    def points(self, rows: Sequence[Any]) -> list[tuple]:
-        """The rows' keys in order. Stable sorts from the last key to the first."""
-        points = [tuple(row[name] for name in self.names) for row in rows]
-        for i, key in reversed(list(enumerate(self.keys))):
-            points.sort(key=lambda p: (p[i] is not None, p[i]), reverse=not key.ascending)
-        return points
 
-    def before(self, point: tuple) -> Column:
-        """Condition: the row comes strictly before the point. Never NULL."""
-        condition = F.lit(False)
-        for key, value, kind in reversed(list(zip(self.keys, point, self._kinds))):
-            condition = key.precedes(value, kind) | (key.same(value, kind) & condition)
-        return condition
+def position(keys: Sequence[SortKey]) -> Column:
+    """The sort keys as one struct; structs compare field by field, NULL lowest."""
+    return F.struct(*[field for key in keys for field in key.fields()])
 
 
 class _Search:
-    """Interval [low, high) known to hold the row of one rank."""
+    """Interval [low, high) known to hold the row of one rank in one ordering."""
 
-    def __init__(self, ordering: Ordering, rank: int, rows: int):
-        self.ordering, self.rank = ordering, rank
-        self.low: tuple | None = None
-        self.high: tuple | None = None
+    def __init__(self, name: str, kind: T.StructType, rank: int, rows: int):
+        self.name, self.rank = name, rank
+        self._kind = kind
+        self.low: Row | None = None
+        self.high: Row | None = None
         self.below, self.size = 0, rows
-        self.found: tuple | None = None
+        self.found: Row | None = None
+
+    def before(self, point: Row) -> Column:
+        """Condition: the row comes strictly before the point."""
+        literals = [F.lit(value).cast(f.dataType).alias(f.name) for f, value in zip(self._kind, point)]
+        return F.col(self.name) < F.struct(*literals)
 
     def inside(self) -> Column:
-        condition = F.lit(True) if self.high is None else self.ordering.before(self.high)
-        return condition if self.low is None else condition & ~self.ordering.before(self.low)
+        condition = F.lit(True) if self.high is None else self.before(self.high)
+        return condition if self.low is None else condition & ~self.before(self.low)
 
-    def propose(self, points: list[tuple]) -> list[tuple]:
+    def propose(self, points: list[Row]) -> list[Row]:
         """Points of a sample of the interval that should enclose the boundary."""
         share = (self.rank - self.below - 0.5) / self.size
         middle, margin = share * len(points), 3 * sqrt(len(points) * share * (1 - share)) + 1
         low, high = floor(middle - margin), ceil(middle + margin)
         return [points[i] for i in (low, high) if 0 <= i < len(points)]
 
-    def narrow(self, point: tuple, rows_before: int) -> None:
+    def narrow(self, point: Row, rows_before: int) -> None:
         """Use the exact number of table rows before a point of the interval."""
         top = self.below + self.size
         if not self.below <= rows_before <= top:
@@ -103,10 +89,10 @@ class _Search:
         else:
             self.high, self.size = point, rows_before - self.below
 
-    def settle(self, points: list[tuple]) -> None:
+    def settle(self, points: list[Row]) -> None:
         index = self.rank - self.below - 1
         if index and points[index - 1] == points[index]:
-            raise ValueError(f"sort keys {self.ordering.names} do not tell rows apart; add a tie key")
+            raise ValueError(f"sort keys of {self.name} do not tell rows apart; add a tie key")
         self.found = points[index]
 
 
@@ -124,65 +110,66 @@ def with_tiles(df: DataFrame, tiles: int, orderings: Mapping[str, Sequence[SortK
     ordering must identify a row; the search stops with an error where they do not.
     """
     rows = df.count()
-    orders = {name: Ordering(df, keys) for name, keys in orderings.items()}
+    positions = df.select(*[position(keys).alias(name) for name, keys in orderings.items()])
     searches = {
-        name: [_Search(order, rank, rows) for rank in tile_starts(rows, tiles)] for name, order in orders.items()
-    }
-    _resolve(df, [s for group in searches.values() for s in group])
-    columns = {
-        name: _tile(orders[name], [s.found for s in group]).cast("bigint") for name, group in searches.items()
+        name: [_Search(name, positions.schema[name].dataType, rank, rows) for rank in tile_starts(rows, tiles)]
+        for name in orderings
     }
-    return df.withColumns(columns)
+    _resolve(positions, [s for group in searches.values() for s in group])
+    placed = df.withColumns({name: position(keys) for name, keys in orderings.items()})
+    return placed.withColumns({name: _tile(group) for name, group in searches.items()})
 
 
-def _tile(ordering: Ordering, starts: list[tuple]) -> Column:
-    return reduce(
-        lambda later, tile: F.when(ordering.before(starts[tile - 1]), tile).otherwise(later),
-        range(len(starts), 0, -1),
-        F.lit(len(starts) + 1),
-    )
+def _tile(searches: list[_Search]) -> Column:
+    tile = F.lit(len(searches) + 1)
+    for number in range(len(searches), 0, -1):
+        search = searches[number - 1]
+        tile = F.when(search.before(search.found), number).otherwise(tile)
+    return tile.cast("bigint")
 
 
-def _resolve(df: DataFrame, searches: list[_Search]) -> None:
-    names = sorted({name for s in searches for name in s.ordering.names})
-    keys = df.select(*names)
+def _resolve(positions: DataFrame, searches: list[_Search]) -> None:
     for turn in range(MAX_ROUNDS):
         small = [s for s in searches if s.found is None and s.size <= FETCH_ROWS]
         if small:
-            _fetch(keys, small)
+            _fetch(positions, small)
         large = [s for s in searches if s.found is None]
         if not large:
             return
-        _narrow(keys, large, turn)
+        _narrow(positions, large, turn)
     raise ValueError("sort keys do not tell rows apart; add a tie key")
 
 
-def _fetch(keys: DataFrame, searches: list[_Search]) -> None:
+def _fetch(positions: DataFrame, searches: list[_Search]) -> None:
     """Settle searches whose interval is known to be small."""
-    for search, rows in zip(searches, _collect(keys, [s.inside() for s in searches])):
-        search.settle(search.ordering.points(rows))
+    for search, points in zip(searches, _collect(positions, searches, [s.inside() for s in searches])):
+        search.settle(points)
 
 
-def _narrow(keys: DataFrame, searches: list[_Search], turn: int) -> None:
+def _narrow(positions: DataFrame, searches: list[_Search], turn: int) -> None:
     """Sample the intervals, then count the rows before each proposed point."""
-    draw = F.pmod(F.xxhash64(*keys.columns, F.lit(turn)), F.lit(_HASH_SPAN))
+    draw = F.pmod(F.xxhash64(*positions.columns, F.lit(turn)), F.lit(_HASH_SPAN))
     chosen = [s.inside() & (draw < ceil(_HASH_SPAN * min(1.0, SAMPLE_ROWS / s.size))) for s in searches]
     proposals = [
         (search, point)
-        for search, rows in zip(searches, _collect(keys, chosen))
-        for point in search.propose(search.ordering.points(rows))
+        for search, points in zip(searches, _collect(positions, searches, chosen))
+        for point in search.propose(points)
     ]
     if not proposals:
         return
-    counts = keys.agg(
-        *[F.count(F.when(search.ordering.before(point), 1)) for search, point in proposals]
-    ).first()
+    counts = positions.agg(*[F.count(F.when(search.before(point), 1)) for search, point in proposals]).first()
     for (search, point), rows_before in zip(proposals, counts):
         search.narrow(point, rows_before)
 
 
-def _collect(keys: DataFrame, conditions: list[Column]) -> list[list[Any]]:
-    """Rows that meet each condition, fetched in one pass."""
-    marks = [condition.alias(f"_{i}") for i, condition in enumerate(conditions)]
-    rows = keys.filter(reduce(or_, conditions)).select("*", *marks).collect()
-    return [[row for row in rows if row[f"_{i}"]] for i in range(len(conditions))]
+def _collect(positions: DataFrame, searches: list[_Search], conditions: list[Column]) -> list[list[Row]]:
+    """Sorted points that meet each search's condition, fetched in one pass."""
+    marks = [condition.alias(f"mark_{i}") for i, condition in enumerate(conditions)]
+    rows = positions.filter(reduce(or_, conditions)).select("*", *marks).collect()
+    return [
+        sorted((row[s.name] for row in rows if row[f"mark_{i}"]), key=_null_lowest) for i, s in enumerate(searches)
+    ]
+
+
+def _null_lowest(point: Row) -> tuple[tuple[bool, Any], ...]:
+    return tuple((value is not None, value) for value in point)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions import calendar
 from stallwise.functions.bands import freight_band, lateness_band
-from stallwise.functions.measures import count_rows, flag, mean, percent
+from stallwise.functions.measures import cents, count_rows, flag, mean, mean_money, percent
 from stallwise.marketplace import Marketplace
 from stallwise.operators.grouping import fold, with_rank
 from stallwise.plans.feedback_audit import latest_reviews
@@ -166,12 +166,11 @@ def freight_vs_speed(m: Marketplace, without_gaps: bool = False, weighed_only: b
     if weighed_only:
         weighed = m.products.filter(F.col("product_weight_g") > 0).select("product_id")
         items = items.join(weighed, "product_id", "left_semi")
-    freight = F.col("freight_value")
     shipped = fold(
         items.withColumn("freight_bucket", freight_band("freight_value", without_gaps)),
         "order_id",
         ["freight_bucket"],
-        {"freight": freight, "charged": flag(freight.isNotNull())},
+        {"freight": cents("freight_value"), "charged": flag(F.col("freight_value").isNotNull())},
     ).withColumnRenamed("copies", "items")
     copies, items_in_band = F.col("copies"), F.col("items")
     return (
@@ -188,7 +187,7 @@ def freight_vs_speed(m: Marketplace, without_gaps: bool = False, weighed_only: b
         .select(
             "freight_bucket",
             "total_orders",
-            mean("freight", "charged", 2).alias("avg_freight_brl"),
+            mean_money("freight", "charged").alias("avg_freight_brl"),
             mean("days", "rows", 1).alias("avg_delivery_days"),
             percent("on_time", "rows").alias("on_time_pct"),
         )

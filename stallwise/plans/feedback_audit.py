@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions import text
-from stallwise.functions.measures import count_rows, count_where, money
+from stallwise.functions.measures import cents, count_rows, count_where, money
 from stallwise.marketplace import Marketplace
 from stallwise.operators import audit, keys
 from stallwise.operators.grouping import latest_per_group
@@ -64,7 +64,7 @@ def payments_invalid_value(m: Marketplace) -> DataFrame:
 
 def payments_zero_rows(m: Marketplace) -> DataFrame:
     zero = audit.violating_rows(m.order_payments, F.col("payment_value") == 0)
-    return zero.withColumn("payment_value", money("payment_value"))
+    return zero.withColumn("payment_value", F.col("payment_value").cast("double"))
 
 
 def payment_type_distribution(m: Marketplace) -> DataFrame:
@@ -87,4 +87,4 @@ def reviews_with_text(m: Marketplace) -> DataFrame:
 
 def order_payment_totals(m: Marketplace) -> DataFrame:
     """Total paid per order over all its payments."""
-    return m.order_payments.groupBy("order_id").agg(money(F.sum("payment_value")).alias("total_payment"))
+    return m.order_payments.groupBy("order_id").agg(money(F.sum(cents("payment_value"))).alias("total_payment"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions import calendar, text
-from stallwise.functions.measures import count_rows, flag, mean, money
+from stallwise.functions.measures import cents, count_rows, flag, mean_money, money
 from stallwise.marketplace import Marketplace
 from stallwise.operators.grouping import fill_months, fold, period_growth, with_share_of_total
 from stallwise.plans.orders_audit import DELIVERED
@@ -35,9 +35,9 @@ def defined_payments(payments: DataFrame) -> DataFrame:
 
 
 def fold_payments(payments: DataFrame, *attributes: str) -> DataFrame:
-    """Per order and attributes: amount paid and the payments that have one."""
-    value = F.col("payment_value")
-    return fold(payments, "order_id", attributes, {"paid": value, "payments": flag(value.isNotNull())})
+    """Per order and attributes: cents paid and the payments that have an amount."""
+    measures = {"paid": cents("payment_value"), "payments": flag(F.col("payment_value").isNotNull())}
+    return fold(payments, "order_id", attributes, measures)
 
 
 def delivered_by(m: Marketplace, attributes: Mapping[str, Column], ignore_case: bool = False) -> DataFrame:
@@ -59,7 +59,7 @@ def delivered_with_customer(m: Marketplace, attribute: str, *order_columns: str)
 
 
 def join_payments(orders: DataFrame, payments: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """Order count, amount and payment rows per attribute from two folded sides.
+    """Order count, cents and payment rows per attribute from two folded sides.
 
     Exactly one side carries the attributes, so joined rows are unique per order
     and attributes and counting them counts distinct orders.
@@ -92,7 +92,7 @@ def monthly_gmv(m: Marketplace, ignore_case: bool = False) -> DataFrame:
             "order_month",
             "total_orders",
             money("amount").alias("monthly_gmv"),
-            mean("amount", "total_orders", 2).alias("avg_order_value"),
+            mean_money("amount", "total_orders").alias("avg_order_value"),
         )
         .orderBy("order_year", "order_month")
     )
@@ -139,7 +139,7 @@ def category_revenue(m: Marketplace) -> DataFrame:
         items.join(labelled, "product_id")
         .groupBy("order_id", "category")
         .agg(
-            F.sum(F.col("price") * F.col("product_copies")).alias("amount"),
+            F.sum(cents("price") * F.col("product_copies")).alias("amount"),
             F.sum(flag(F.col("price").isNotNull()) * F.col("product_copies")).alias("priced_items"),
         )
     )
@@ -155,8 +155,8 @@ def category_revenue(m: Marketplace) -> DataFrame:
             "category",
             "total_orders",
             money("amount").alias("total_revenue"),
-            mean("amount", "priced_items", 2).alias("avg_item_price"),
-            mean("amount", "total_orders", 2).alias("revenue_per_order"),
+            mean_money("amount", "priced_items").alias("avg_item_price"),
+            mean_money("amount", "total_orders").alias("revenue_per_order"),
         )
         .orderBy(F.desc("total_revenue"))
     )
@@ -171,7 +171,7 @@ def payment_type_revenue(m: Marketplace) -> DataFrame:
             "payment_type",
             "total_orders",
             money("amount").alias("total_revenue"),
-            mean("amount", "payment_rows", 2).alias("avg_payment_value"),
+            mean_money("amount", "payment_rows").alias("avg_payment_value"),
             "revenue_share_pct",
         )
         .orderBy(F.desc("total_revenue"))
@@ -192,7 +192,7 @@ def installment_profile(m: Marketplace, per_order: bool = False) -> DataFrame:
         F.col("payment_installments").cast("bigint").alias("payment_installments"),
         "total_orders",
         money("amount").alias("total_revenue"),
-        mean("amount", "total_orders" if per_order else "payment_rows", 2).alias("avg_order_value"),
+        mean_money("amount", "total_orders" if per_order else "payment_rows").alias("avg_order_value"),
     ).orderBy("payment_installments")
 
 
@@ -211,7 +211,7 @@ def state_revenue(m: Marketplace, per_order: bool = False) -> DataFrame:
             "customer_state",
             "total_orders",
             money("amount").alias("total_revenue"),
-            mean("amount", "total_orders" if per_order else "payment_rows", 2).alias("avg_order_value"),
+            mean_money("amount", "total_orders" if per_order else "payment_rows").alias("avg_order_value"),
             "revenue_share_pct",
         )
         .orderBy(F.desc("total_revenue"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions.bands import customer_segment
 from stallwise.functions.calendar import days_between
-from stallwise.functions.measures import count_rows, mean, money, percent
+from stallwise.functions.measures import count_rows, mean, mean_money, money
 from stallwise.marketplace import Marketplace
+from stallwise.operators.grouping import with_share_of_total
 from stallwise.operators.tiles import SortKey, with_tiles
 from stallwise.plans.revenue import PURCHASE, defined_payments, delivered_with_customer, fold_payments
 from stallwise.session import materialise
@@ -25,7 +26,7 @@ SCORES = {
 
 
 def person_metrics(m: Marketplace) -> DataFrame:
-    """Last order, recency, distinct orders and amount paid per person.
+    """Last order, recency, distinct orders and cents paid per person.
 
     Recency counts back from the latest purchase among all orders, delivered or not.
     """
@@ -49,7 +50,7 @@ def person_metrics(m: Marketplace) -> DataFrame:
             "last_order_date",
             days_between(latest, F.col("last_order_date")).alias("recency_days"),
             "frequency",
-            F.col("monetary").cast("decimal(24,2)").alias("monetary"),
+            "monetary",
         )
     )
 
@@ -76,8 +77,7 @@ def rfm_segments(m: Marketplace) -> DataFrame:
 
 
 def rfm_segment_summary(m: Marketplace) -> DataFrame:
-    people = F.col("total_customers")
-    return (
+    grouped = (
         segmented(m)
         .groupBy("segment")
         .agg(
@@ -88,14 +88,16 @@ def rfm_segment_summary(m: Marketplace) -> DataFrame:
             count_rows().alias("rows"),
             F.count("monetary").alias("paying"),
         )
-        .withColumn("pct_of_customers", percent(people, F.sum(people).over(Window.partitionBy())))
+    )
+    return (
+        with_share_of_total(grouped, "total_customers", "pct_of_customers")
         .select(
             "segment",
             "total_customers",
             "pct_of_customers",
             mean("recency", "rows", 0).alias("avg_recency_days"),
             mean("orders", "rows", 2).alias("avg_frequency"),
-            mean("amount", "paying", 2).alias("avg_monetary_brl"),
+            mean_money("amount", "paying").alias("avg_monetary_brl"),
             money("amount").alias("total_revenue_brl"),
         )
         .orderBy(F.desc("total_revenue_brl"))

@@ -9,6 +9,7 @@ inputs, not facts about the data.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,12 @@ def _twice(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("_copy", F.explode(times)).drop("_copy")
 
 
+def _decimal(amount: str) -> Column:
+    """A double of two places as a decimal, without Spark's detour through text."""
+    whole = F.floor(F.col(amount) * 100 + 0.5).cast("decimal(18,0)")
+    return (whole * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+
+
 def _null_every(key: str, n: int, value: Column) -> Column:
     return F.when(~_every(key, n), value)
 
@@ -80,8 +87,7 @@ def _orders(read: Read) -> DataFrame:
     status = F.col("o_orderstatus")
 
     def after(hours: Column) -> Column:
-        zero = F.lit(0)
-        return F.col("o_orderdate") + F.make_dt_interval(zero, hours.cast("int"), zero, zero.cast("decimal(18,6)"))
+        return F.timestamp_add("HOUR", hours, F.col("o_orderdate"))
 
     carrier = k % 24 + 24 * (k % 5) - F.when(k % 31 == 0, 120).otherwise(0)
     arrival = k % 24 + 24 * (3 + k % 37) - F.when(k % 41 == 0, 120).otherwise(0)
@@ -107,7 +113,7 @@ def _orders(read: Read) -> DataFrame:
 
 def _order_items(read: Read) -> DataFrame:
     part = F.col("l_partkey")
-    price = F.when(_every("l_orderkey", 317), F.lit(0)).otherwise(F.col("l_extendedprice"))
+    price = F.when(_every("l_orderkey", 317), F.lit(0)).otherwise(_decimal("l_extendedprice"))
     percent = F.round(F.col("l_discount") * 100).cast("int")
     freight = (F.col("l_quantity").cast("int") * percent).cast("decimal(18,2)") * F.lit(0.2).cast("decimal(2,1)")
     return read("lineitem").select(
@@ -131,11 +137,8 @@ def _order_payments(read: Read) -> DataFrame:
         .when(F.col("l_returnflag") == "R", "boleto")
         .otherwise(unreturned)
     )
-    value = (
-        F.when(F.col("l_quantity") == 1, F.lit(0))
-        .when(_every("l_partkey", 401), -F.col("l_extendedprice"))
-        .otherwise(F.col("l_extendedprice"))
-    )
+    paid = _decimal("l_extendedprice")
+    value = F.when(F.col("l_quantity") == 1, F.lit(0)).when(_every("l_partkey", 401), -paid).otherwise(paid)
     return read("lineitem").select(
         _null_every("l_partkey", 419, F.col("l_orderkey")).alias("order_id"),
         _null_every("l_partkey", 409, kind).alias("payment_type"),
