@@ -73,11 +73,11 @@ class _Search:
         return condition if self.low is None else condition & ~self.before(self.low)
 
     def propose(self, points: list[Row]) -> list[Row]:
-        """Points of a sample of the interval that should enclose the boundary."""
+        """Points of a sample: the likely boundary, and two that should enclose it."""
         share = (self.rank - self.below - 0.5) / self.size
         middle, margin = share * len(points), 3 * sqrt(len(points) * share * (1 - share)) + 1
-        low, high = floor(middle - margin), ceil(middle + margin)
-        return [points[i] for i in (low, high) if 0 <= i < len(points)]
+        places = floor(middle - margin), floor(middle), ceil(middle + margin)
+        return [points[i] for i in places if 0 <= i < len(points)]
 
     def narrow(self, point: Row, rows_before: int) -> None:
         """Use the exact number of table rows before a point of the interval."""
