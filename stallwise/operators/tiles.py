@@ -62,18 +62,25 @@ class _Search:
         self.high: Row | None = None
         self.below, self.size = 0, rows
         self.found: Row | None = None
+        self._before: dict[Row, Column] = {}
 
     def before(self, point: Row) -> Column:
         """Condition: the row comes strictly before the point."""
-        literals = [F.lit(value).cast(f.dataType).alias(f.name) for f, value in zip(self._kind, point)]
-        return F.col(self.name) < F.struct(*literals)
+        if point not in self._before:
+            literals = [F.lit(value).cast(f.dataType).alias(f.name) for f, value in zip(self._kind, point)]
+            self._before[point] = F.col(self.name) < F.struct(*literals)
+        return self._before[point]
 
     def inside(self) -> Column:
         condition = F.lit(True) if self.high is None else self.before(self.high)
         return condition if self.low is None else condition & ~self.before(self.low)
 
     def propose(self, points: list[Row]) -> list[Row]:
-        """Points of a sample: the likely boundary, and two that should enclose it."""
+        """Points of a sample: the likely boundary, and two that should enclose it.
+
+        The middle one makes every round shrink the interval, also where it is so
+        small that the others fall outside.
+        """
         share = (self.rank - self.below - 0.5) / self.size
         middle, margin = share * len(points), 3 * sqrt(len(points) * share * (1 - share)) + 1
         places = floor(middle - margin), floor(middle), ceil(middle + margin)

@@ -119,8 +119,8 @@ def mom_growth(m: Marketplace, by_calendar: bool = False) -> DataFrame:
 def category_revenue(m: Marketplace) -> DataFrame:
     """Item revenue per English category name.
 
-    Items meet products first, unfolded for the sake of the order key, so that a
-    best seller is split by the adaptive skew rule; the order join comes last.
+    Items meet products and names first, unfolded for the sake of the order key;
+    a best seller is left to the adaptive skew split. The order join comes last.
     """
     names = fold(
         m.category_translation,
@@ -129,18 +129,17 @@ def category_revenue(m: Marketplace) -> DataFrame:
         unique=m.is_unique("category_translation"),
     ).withColumnRenamed("copies", "name_copies")
     products = fold(m.products, "product_id", ["product_category_name"], unique=m.is_unique("products"))
-    labelled = products.join(names, "product_category_name", "left").select(
-        "product_id",
-        F.coalesce("product_category_name_english", F.lit(UNCATEGORIZED)).alias("category"),
-        (F.col("copies") * F.coalesce("name_copies", F.lit(1))).alias("product_copies"),
-    )
-    items = m.order_items.select("order_id", "product_id", "price")
+    items = m.order_items.select("order_id", "product_id", cents("price").alias("price"))
+    label = F.coalesce("product_category_name_english", F.lit(UNCATEGORIZED))
+    times = F.col("copies") * F.coalesce("name_copies", F.lit(1))
     sold = (
-        items.join(labelled, "product_id")
+        items.join(products, "product_id")
+        .join(names, "product_category_name", "left")
+        .select("order_id", "price", label.alias("category"), times.alias("times"))
         .groupBy("order_id", "category")
         .agg(
-            F.sum(cents("price") * F.col("product_copies")).alias("amount"),
-            F.sum(flag(F.col("price").isNotNull()) * F.col("product_copies")).alias("priced_items"),
+            F.sum(F.col("price") * F.col("times")).alias("amount"),
+            F.sum(flag(F.col("price").isNotNull()) * F.col("times")).alias("priced_items"),
         )
     )
     return (
