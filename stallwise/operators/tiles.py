@@ -149,17 +149,21 @@ def _resolve(positions: DataFrame, searches: list[_Search]) -> None:
 
 def _fetch(positions: DataFrame, searches: list[_Search]) -> None:
     """Settle searches whose interval is known to be small."""
-    for search, points in zip(searches, _collect(positions, searches, [s.inside() for s in searches])):
+    for search, points in zip(searches, _collect(positions, searches)):
         search.settle(points)
 
 
 def _narrow(positions: DataFrame, searches: list[_Search], turn: int) -> None:
-    """Sample the intervals, then count the rows before each proposed point."""
-    draw = F.pmod(F.xxhash64(*positions.columns, F.lit(turn)), F.lit(_HASH_SPAN))
-    chosen = [s.inside() & (draw < ceil(_HASH_SPAN * min(1.0, SAMPLE_ROWS / s.size))) for s in searches]
+    """Sample the intervals, then count the rows before each proposed point.
+
+    The largest interval sets the sampling rate, which bounds the sample.
+    """
+    rate = min(1.0, SAMPLE_ROWS / max(s.size for s in searches))
+    draw = F.pmod(F.xxhash64(positions.columns[0], F.lit(turn)), F.lit(_HASH_SPAN))
+    sample = positions.filter(draw < ceil(_HASH_SPAN * rate))
     proposals = [
         (search, point)
-        for search, points in zip(searches, _collect(positions, searches, chosen))
+        for search, points in zip(searches, _collect(sample, searches))
         for point in search.propose(points)
     ]
     if not proposals:
@@ -169,13 +173,17 @@ def _narrow(positions: DataFrame, searches: list[_Search], turn: int) -> None:
         search.narrow(point, rows_before)
 
 
-def _collect(positions: DataFrame, searches: list[_Search], conditions: list[Column]) -> list[list[Row]]:
-    """Sorted points that meet each search's condition, fetched in one pass."""
-    marks = [condition.alias(f"mark_{i}") for i, condition in enumerate(conditions)]
-    rows = positions.filter(reduce(or_, conditions)).select("*", *marks).collect()
-    return [
-        sorted((row[s.name] for row in rows if row[f"mark_{i}"]), key=_null_lowest) for i, s in enumerate(searches)
-    ]
+def _collect(positions: DataFrame, searches: list[_Search]) -> list[list[Row]]:
+    """Sorted points inside each search's interval, fetched in one pass."""
+    inside = [s.inside() for s in searches]
+    marks = F.array(*inside).alias("marks")
+    rows = positions.filter(reduce(or_, inside)).select("*", marks).collect()
+    points: list[list[Row]] = [[] for _ in searches]
+    for row in rows:
+        for i, mark in enumerate(row["marks"]):
+            if mark:
+                points[i].append(row[searches[i].name])
+    return [sorted(group, key=_null_lowest) for group in points]
 
 
 def _null_lowest(point: Row) -> tuple[tuple[bool, Any], ...]:
