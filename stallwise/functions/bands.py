@@ -15,6 +15,7 @@ FREE = "Free"
 FREIGHT_BANDS = (("1-20 BRL", 1, 20), ("21-40 BRL", 21, 40), ("41-60 BRL", 41, 60), ("61-80 BRL", 61, 80))
 TOP_FREIGHT_BAND = "80+ BRL"
 UNKNOWN_FREIGHT = "Unknown"
+FREIGHT_LABELS = (FREE, *[name for name, _, _ in FREIGHT_BANDS], TOP_FREIGHT_BAND, UNKNOWN_FREIGHT)
 
 # Segment by recency score (row) and frequency score 1 to 5.
 SEGMENT_GRID = {
@@ -42,20 +43,26 @@ def lateness_band(on_time: str, delay_days: str, same_day_is_first_band: bool =
     return label.otherwise(LATEST_BAND)
 
 
-def freight_band(freight: str, without_gaps: bool = False) -> Column:
-    """Freight label of an item.
+def freight_band(cents: str, without_gaps: bool = False) -> Column:
+    """Number of an item's freight band, for :func:`freight_label`.
 
     The bands have whole-number edges, so an amount between two bands (20.50),
-    a negative one and NULL all carry the top label. ``without_gaps`` closes the
-    gaps and labels negative and NULL amounts separately.
+    a negative one and NULL all fall into the top band. ``without_gaps`` closes the
+    gaps and sets negative and NULL amounts apart.
     """
-    amount = F.col(freight)
-    label = F.when(amount == 0, FREE)
+    amount = F.col(cents)
+    band = F.when(amount == 0, FREIGHT_LABELS.index(FREE))
     if without_gaps:
-        label = label.when(amount.isNull() | (amount < 0), UNKNOWN_FREIGHT)
+        band = band.when(amount.isNull() | (amount < 0), FREIGHT_LABELS.index(UNKNOWN_FREIGHT))
     for name, low, high in FREIGHT_BANDS:
-        label = label.when(amount <= high if without_gaps else amount.between(low, high), name)
-    return label.otherwise(TOP_FREIGHT_BAND)
+        in_band = amount <= high * 100 if without_gaps else amount.between(low * 100, high * 100)
+        band = band.when(in_band, FREIGHT_LABELS.index(name))
+    return band.otherwise(FREIGHT_LABELS.index(TOP_FREIGHT_BAND))
+
+
+def freight_label(band: str) -> Column:
+    labels = F.array(*[F.lit(name) for name in FREIGHT_LABELS])
+    return F.element_at(labels, F.col(band) + 1)
 
 
 def customer_segment(r: str, f: str, m: str) -> Column:

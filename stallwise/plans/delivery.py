@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallwise.functions import calendar
-from stallwise.functions.bands import freight_band, lateness_band
+from stallwise.functions.bands import freight_band, freight_label, lateness_band
 from stallwise.functions.measures import cents, count_rows, flag, mean, mean_money, percent
 from stallwise.marketplace import Marketplace
 from stallwise.operators.grouping import fold, with_rank
@@ -167,15 +167,17 @@ def freight_vs_speed(m: Marketplace, without_gaps: bool = False, weighed_only: b
         weighed = m.products.filter(F.col("product_weight_g") > 0).select("product_id")
         items = items.join(weighed, "product_id", "left_semi")
     shipped = fold(
-        items.withColumn("freight_bucket", freight_band("freight_value", without_gaps)),
+        items.select("order_id", cents("freight_value").alias("freight")).withColumn(
+            "band", freight_band("freight", without_gaps)
+        ),
         "order_id",
-        ["freight_bucket"],
-        {"freight": cents("freight_value"), "charged": flag(F.col("freight_value").isNotNull())},
+        ["band"],
+        {"freight": F.col("freight"), "charged": flag(F.col("freight").isNotNull())},
     ).withColumnRenamed("copies", "items")
     copies, items_in_band = F.col("copies"), F.col("items")
     return (
         shipped.join(orders, "order_id")
-        .groupBy("freight_bucket")
+        .groupBy("band")
         .agg(
             count_rows().alias("total_orders"),
             F.sum(F.col("freight") * copies).alias("freight"),
@@ -185,7 +187,7 @@ def freight_vs_speed(m: Marketplace, without_gaps: bool = False, weighed_only: b
             F.sum(F.col("on_time") * items_in_band).alias("on_time"),
         )
         .select(
-            "freight_bucket",
+            freight_label("band").alias("freight_bucket"),
             "total_orders",
             mean_money("freight", "charged").alias("avg_freight_brl"),
             mean("days", "rows", 1).alias("avg_delivery_days"),
