@@ -53,13 +53,16 @@ def period_growth(df: DataFrame, periods: Sequence[str], value: str, previous: s
 
 
 def fill_months(df: DataFrame, year: str, month: str) -> DataFrame:
-    """Monthly report with a row for every calendar month it spans."""
+    """Monthly report with a row for every calendar month it spans.
+
+    A row without a month stays.
+    """
     dated = df.withColumn("_first", F.make_date(F.col(year).cast("int"), F.col(month).cast("int"), F.lit(1)))
     span = dated.agg(F.min("_first").alias("low"), F.max("_first").alias("high"))
     every = F.expr("explode(sequence(low, high, interval 1 month))")
     return (
         span.select(every.alias("_first"))
-        .join(dated.drop(year, month), "_first", "left")
+        .join(dated.drop(year, month), "_first", "full")
         .withColumn(year, F.year("_first").cast("bigint"))
         .withColumn(month, F.month("_first").cast("bigint"))
         .select(*df.columns)

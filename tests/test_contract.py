@@ -29,3 +29,9 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, duck, name):
     assert difference(QUERIES[name](spark, FOLDER), duck, ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", ["day_of_week_profile", "hour_of_day_profile", "rfm_base", "delivery_overall"])
+def test_session_time_zone_does_not_matter(spark, duck, setting, name):
+    setting("spark.sql.session.timeZone", "America/Sao_Paulo")
+    assert difference(QUERIES[name](spark, FOLDER), duck, ORACLES[name]) is None

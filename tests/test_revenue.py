@@ -136,7 +136,9 @@ def test_unknown_purchase_month_comes_first(spark):
         orders=[order("a", purchase=None), order("b")],
         order_payments=[payment("a", value=2), payment("b", value=3)],
     )
-    assert rows(run_report("mom_growth", m)) == [(None, None, 2.0, None, None), (2018, 1, 3.0, 2.0, 50.0)]
+    expected = [(None, None, 2.0, None, None), (2018, 1, 3.0, 2.0, 50.0)]
+    assert rows(run_report("mom_growth", m)) == expected
+    assert rows(revenue.mom_growth(m, by_calendar=True)) == expected
 
 
 def test_status_case(spark):
