@@ -134,3 +134,17 @@ def test_freight_of_weighed_products(spark):
                   product("void", product_weight_g=0), product("unweighed")],
     )
     assert rows(delivery.freight_vs_speed(m, weighed_only=True)) == [("1-20 BRL", 1, 1.0, 4.0, 100.0)]
+
+
+def test_unique_tables_give_the_same_reports(spark):
+    m = marketplace(
+        spark,
+        orders=[*LATENESS, delivered("other", "2018-01-05", customer="c2")],
+        customers=[customer("c1"), customer("c2", state="RJ")],
+        order_items=[item("exact", freight=5), item("+1", freight=30), item("+1", 2, freight=30), item("other", freight=0)],
+        order_reviews=[review("1", "exact", 5), review("2", "+8", 1), review("3", "+8", 2), review("4", "other", 3)],
+    )
+    audited = m.audited()
+    assert audited.is_unique("orders") and audited.is_unique("customers")
+    for name in ("delivery_overall", "delivery_by_state", "punctuality_vs_review", "monthly_on_time", "freight_vs_speed"):
+        assert sorted(rows(run_report(name, m))) == sorted(rows(run_report(name, audited))), name
