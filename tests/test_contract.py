@@ -7,10 +7,11 @@ from compare import connect, difference
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from stallwise.plans.catalog import REPORTS
 
 FOLDER = str(TESTDATA / "sf0.01")
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = {name: query for name, query in contract.queries().items() if name in REPORTS}
+ORACLES = {name: sql for name, sql in contract.oracle_sql().items() if name in REPORTS}
 
 
 @pytest.fixture(scope="module")
