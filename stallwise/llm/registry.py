@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format
+from stallwise.llm import chat_format, license_scan
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": license_scan.OP1_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
 }
