@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, license_scan
+from stallwise.llm import chat_format, license_scan, quality
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 
