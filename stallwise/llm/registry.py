@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, license_scan, quality
+from stallwise.llm import chat_format, decontaminate, license_scan, quality
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 
 ORACLE_SQL = {
     "op1_license_scan": license_scan.OP1_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
 }
