@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, license_scan, quality
+from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, quality
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_chat_format": chat_format.op9_chat_format,
 }
