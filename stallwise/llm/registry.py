@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, quality
+from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, near_dedup, quality
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_decontaminate": decontaminate.op6_decontaminate,

@@ -100,8 +100,11 @@ class Words:
         return np.cumsum(self.counts) - self.counts
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[Chunk]:
-    """The texts of an Arrow column, NULL as the empty text, in bounded chunks."""
+def text_chunks(column: pa.Array | pa.ChunkedArray, together: int = 1) -> Iterator[Chunk]:
+    """The texts of an Arrow column, NULL as the empty text, in bounded chunks.
+
+    Runs of ``together`` texts are never cut apart.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -112,7 +115,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[Chunk]:
     first = 0
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1
-        last = min(max(last, first + 1), len(column))
+        last = min(max(last - (last - first) % together, first + together), len(column))
         cut = offsets[first : last + 1]
         yield Chunk(first, cut - cut[0], data[cut[0] : cut[-1]])
         first = last
