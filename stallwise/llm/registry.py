@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, near_dedup, quality
+from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, near_dedup, quality, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_chat_format": chat_format.op9_chat_format,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
     "op1_license_scan": license_scan.OP1_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
+    "op10_suffix_dedup": suffix_dedup.OP10_SQL,
 }
