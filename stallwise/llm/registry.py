@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, near_dedup, quality, suffix_dedup
+from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_packing": packing.op7_packing,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }

@@ -324,24 +324,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH texts AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
 ), windows AS (
-  SELECT doc_id, unnest(range(len(h) // 2 - 99)) AS i, h FROM texts WHERE len(h) >= 200
+  SELECT doc_id, i, md5_number(b[i + 1:i + 100]) AS w FROM (SELECT doc_id, b, unnest(range(n - 99)) AS i FROM texts WHERE n >= 100)
+), firsts AS (
+  SELECT w, min(doc_id * 1000000000 + i) AS f FROM windows GROUP BY w HAVING count(*) > 1
 ), ordered AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(h, 2 * i + 1, 200)) ORDER BY doc_id, i) > 1 AS again FROM windows
+  SELECT doc_id, i, doc_id * 1000000000 + i > f AS again FROM windows JOIN firsts USING (w)
 ), runs AS (
   SELECT doc_id, i, i - 100 > coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -101) AS opens
   FROM ordered WHERE again
 ), numbered AS (
   SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM runs
 ), spans AS (
-  SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM numbered GROUP BY doc_id, run
+  SELECT doc_id, min(i) AS low, max(i) + 100 AS high FROM numbered GROUP BY doc_id, run
 ), cuts AS (
-  SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es FROM spans GROUP BY doc_id
+  SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, list(low ORDER BY low) AS lows, list(high ORDER BY low) AS highs FROM spans GROUP BY doc_id
 )
-SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN bs IS NULL THEN h ELSE array_to_string(list_transform(range(len(bs) + 1), lambda k:
-    substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE es[k] END) + 1,
-      2 * ((CASE WHEN k = len(bs) THEN len(h) // 2 ELSE bs[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE es[k] END)))), '') END)) AS kept_sha256
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN lows IS NULL THEN hex(b) ELSE array_to_string(list_transform(range(len(lows) + 1), lambda k:
+    hex(b[(CASE WHEN k = 0 THEN 0 ELSE highs[k] END) + 1:(CASE WHEN k = len(lows) THEN n ELSE lows[k + 1] END)])), '') END)) AS kept_sha256
 FROM texts LEFT JOIN cuts USING (doc_id)
 """
