@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality, suffix_dedup
+from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_packing": packing.op7_packing,
