@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity
+from stallwise.llm import chat_format, decontaminate, html_extract, license_scan, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_packing": packing.op7_packing,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
