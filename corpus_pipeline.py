@@ -1,14 +1,70 @@
-"""Cleaning a corpus in stages, from raw documents to packed training sequences."""
+"""Cleaning a corpus in stages, from raw documents to packed training sequences.
+
+Each stage reads what the one before has written, and all but the last return the columns of
+documents. Rejected by quality rules, later copies of near-duplicates and contaminated documents go;
+passages that stood earlier are cut from the texts (``n_chars`` follows); what is left is tokenised
+and packed. An empty table goes through all stages; an empty text is not good quality, and one that
+has been cut to nothing is packed as its end token.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stallwise.llm.decontaminate import remove_contaminated
+from stallwise.llm.near_dedup import keep_one_of_each
+from stallwise.llm.packing import pack_documents
+from stallwise.llm.quality import keep_good
+from stallwise.llm.suffix_dedup import remove_repeats
+from stallwise.llm.tables import materialise, read
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality."""
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return keep_one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one, or an earlier place, has."""
+    cut = remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
 
+# The fitted model of the first stage and the plan of the last are not SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents of a folder."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

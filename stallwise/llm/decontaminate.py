@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm.tables import materialise, read
+from stallwise.llm.tables import materialise, read, unpacked, whole_row
 
 WINDOW_WORDS = 13
 #: A document is contaminated when at least one word in so many is hit.
@@ -142,9 +142,11 @@ def judge_contamination(documents: DataFrame, places: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents; all columns kept."""
     judged = judge_contamination(*find_contamination(docs, benchmark, doc_id, text))
-    bad = judged.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("body").alias("__hash"))
+    bad = judged.filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("body").alias("bad_body"))
     body = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__id")) & (body == F.col("__hash")), "left_anti")
+    rows = docs.select(whole_row(docs), F.col(doc_id).alias("id"), body.alias("body"))
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("body") == F.col("bad_body"))
+    return unpacked(rows.join(bad, same, "left_anti"), docs)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

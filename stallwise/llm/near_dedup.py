@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallwise.llm.components import components
-from stallwise.llm.tables import map_batches, materialise, read
+from stallwise.llm.tables import map_batches, materialise, read, unpacked, whole_row
 from stallwise.llm.words import ALNUM_LOWER, Words, find_words, mix, text_chunks, window_hashes
 
 SHINGLE_WORDS = 5
@@ -262,13 +262,13 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the first document of each class; all columns kept."""
     classes = near_duplicate_classes(docs, doc_id, text, similarity).filter("stays")
-    stays = classes.select(F.col("id").alias("__id"), F.col("body").alias("__hash"), F.col("has_words").alias("__worded")).distinct()
+    stays = classes.select(F.col("id").alias("stay_id"), F.col("body").alias("stay_body"), "has_words").distinct()
     body = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = docs.withColumn("__body", body)
-    joined = rows.join(stays, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__hash")))
-    same_row = Window.partitionBy("__id", "__hash").orderBy("__hash")
-    nth = joined.withColumn("__nth", F.row_number().over(same_row)).filter((F.col("__nth") == 1) | ~F.col("__worded"))
-    return nth.select(*[F.col(f"`{name}`") for name in docs.columns])
+    rows = docs.select(whole_row(docs), F.col(doc_id).alias("id"), body.alias("body"))
+    joined = rows.join(stays, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("body") == F.col("stay_body")))
+    same_row = Window.partitionBy("stay_id", "stay_body").orderBy("stay_body")
+    nth = joined.withColumn("nth", F.row_number().over(same_row))
+    return unpacked(nth.filter((F.col("nth") == 1) | ~F.col("has_words")), docs)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

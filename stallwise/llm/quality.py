@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.llm.tables import map_batches, read
+from stallwise.llm.tables import map_batches, read, unpacked, whole_row
 from stallwise.llm.words import SPACED, Chunk, SpanHashes, Words, find_words, mix, text_chunks, window_hashes
 
 BUCKETS = 1 << 16
@@ -234,7 +234,7 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _score_batch(batch: pa.RecordBatch, model: Model, keep_probability: float) -> Iterator[pa.RecordBatch]:
-    for chunk in text_chunks(batch.column("__text")):
+    for chunk in text_chunks(batch.column("text")):
         words = find_words(chunk, SPACED)
         characters = _sums((chunk.data & 0xC0) != 0x80, chunk.offsets)
         spaces = _sums(SPACED[chunk.data] == 0, chunk.offsets)
@@ -253,33 +253,29 @@ def _score_batch(batch: pa.RecordBatch, model: Model, keep_probability: float) -
             "probability": probability,
             "kept": ~failed & (probability >= keep_probability),
         }
-        kept = {f.name: batch.column(f.name).slice(chunk.first, len(chunk)) for f in batch.schema if f.name != "__text"}
-        yield pa.RecordBatch.from_arrays(
-            [*kept.values(), *(pa.array(v) for v in made.values())], names=[*kept, *(f"__{name}" for name in made)]
-        )
+        rows = batch.column("row").slice(chunk.first, len(chunk))
+        yield pa.RecordBatch.from_pydict({"row": rows} | {name: pa.array(values) for name, values in made.items()})
 
 
-VERDICT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, probability double, kept boolean"
+_VERDICT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, probability double, kept boolean"
 
 
 def judge_quality(docs: DataFrame, model: Model, text: str = "text", keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
-    """``docs`` with a struct ``__verdict``: the base counts, the probability and ``kept``.
+    """Each row of ``docs`` as a struct ``row``, beside its base counts, probability and verdict ``kept``."""
+    rows = docs.select(whole_row(docs), F.col(text).cast("string").alias("text"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, {_VERDICT}"
+    return map_batches(rows, partial(_score_batch, model=model, keep_probability=keep_probability), schema)
+
 
-    Other columns pass through, whatever their names (but for names that begin with ``__``).
-    """
-    rows = docs.withColumn("__text", F.col(text).cast("string"))
-    made = [piece.split(" ") for piece in VERDICT.split(", ")]
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema = ", ".join([plain] * bool(plain) + [f"__{name} {kind}" for name, kind in made])
-    judged = map_batches(rows, partial(_score_batch, model=model, keep_probability=keep_probability), schema)
-    verdict = F.struct(*[F.col(f"__{name}").alias(name) for name, _ in made])
-    return judged.select(*[F.col(f"`{name}`") for name in docs.columns], verdict.alias("__verdict"))
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the documents that the rules or the model reject; all columns kept."""
+    model = fit_quality_model(docs, labels, doc_id=doc_id, text=text)
+    return unpacked(judge_quality(docs, model, text).filter("kept"), docs)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, calibrated probability and verdict for all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality_model(docs, read(spark, sf_dir, "labels"))
-    judged = judge_quality(docs.select("doc_id", "text"), model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"]
-    return judged.select("doc_id", *[F.col(f"__verdict.{name}") for name in names])
+    return judge_quality(docs, model).select(F.col("row.doc_id").alias("doc_id"), *names)

@@ -23,12 +23,13 @@ anchors in blocks of about ``BLOCK_ROWS`` suffixes, cut between anchors.
 Ids are whole numbers. Defined results: NULL and empty texts have no bytes; NULL ids come first;
 rows with equal ids are ordered by their text's hash, and repeated rows (equal id and text) are one
 text judged once, each of them cut alike; an empty table gives an empty result; other columns pass through
-:func:`cut_repeats`.
+:func:`remove_repeats`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallwise.llm.deep_shallow import common_prefixes, sorted_order
-from stallwise.llm.tables import map_batches, materialise, read
+from stallwise.llm.tables import map_batches, materialise, read, whole_row
 from stallwise.llm.words import SpanHashes, mix, text_chunks
 
 LENGTH = 100
@@ -261,19 +262,18 @@ def covered(size: int, whole: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], axis=1)
 
 
-_CUT = "kept binary, n_bytes bigint, removed array<struct<begin:bigint,end:bigint>>"
 _RUN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
 
-def _cut_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _cut_batch(batch: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]:
     none = np.zeros((0, 2), np.int64)
-    names = [name for name in batch.schema.names if name not in ("__text", "__whole", "__spans")]
-    texts, wholes, parts = (batch.column(name) for name in ("__text", "__whole", "__spans"))
-    for begin in range(0, batch.num_rows, 1000):
+    texts, wholes, parts = (batch.column(name) for name in ("text", "whole", "spans"))
+    for begin in range(0, batch.num_rows, 500):
         kept, sizes, removed = [], [], []
-        for row in range(begin, min(begin + 1000, batch.num_rows)):
+        for row in range(begin, min(begin + 500, batch.num_rows)):
             raw = texts[row].as_buffer().to_pybytes()
             sizes.append(len(raw))
+            runs: list[list[int]] = []
             if wholes[row].is_valid or parts[row].is_valid:
                 whole = wholes[row].values.to_numpy() if wholes[row].is_valid else none[:, 0]
                 spans = none
@@ -283,42 +283,53 @@ def _cut_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 runs = covered(len(raw), whole.astype(np.int64), spans.astype(np.int64)).tolist()
                 bounds = [0, *(at for run in runs for at in run), len(raw)]
                 raw = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
-                removed.append([{"begin": a, "end": b} for a, b in runs])
-            else:
-                removed.append([])
-            kept.append(raw)
-        made = {name: batch.column(name).slice(begin, len(kept)) for name in names}
-        made |= {"__kept": pa.array(kept, pa.binary()), "__n_bytes": pa.array(sizes), "__removed": pa.array(removed, pa.list_(_RUN))}
-        yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+            removed.append([{"begin": a, "end": b} for a, b in runs])
+            kept.append(raw.decode("utf-8", "ignore") if as_text else raw)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "row": batch.column("row").slice(begin, len(kept)),
+                "kept": pa.array(kept, pa.string() if as_text else pa.binary()),
+                "n_bytes": pa.array(sizes, pa.int64()),
+                "removed": pa.array(removed, pa.list_(_RUN)),
+            }
+        )
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__cut``: the bytes ``kept``, ``n_bytes`` before, and the runs ``removed``."""
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """Each row of ``docs`` as a struct ``row``, beside the bytes ``kept``, ``n_bytes`` before, and the runs
+    ``removed``. With ``as_text`` what is kept is text, without characters that a run cuts in two."""
     rows, keys = _keys(docs, doc_id, text)
-    repeats = find_repeats(rows, keys).toDF(*[f"__{name}" for name in (*keys, "whole", "spans")])
+    repeats = find_repeats(rows, keys)
+    repeats = repeats.select(*[F.col(name).alias(f"key_{name}") for name in keys], "whole", "spans")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    marked = docs.withColumn("__text", body)
-    same = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_FIRST_ID).cast("bigint")) == F.col("__id")
+    number = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_FIRST_ID).cast("bigint"))
+    marked = docs.select(whole_row(docs), number.alias("id"), body.alias("text"))
+    same = F.col("id") == F.col("key_id")
     if len(keys) > 1:
-        same = same & (F.xxhash64("__text") == F.col("__body"))
-    names = [F.col(f"`{name}`") for name in docs.columns]
-    joined = marked.join(repeats, same, "left").select(*names, "__text", "__whole", "__spans")
-    plain = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    made = ", ".join(f"__{part}" for part in _CUT.split(", "))
-    cut = map_batches(joined, _cut_batch, plain + made)
-    return cut.select(*names, F.struct(*[F.col(f"__{n}").alias(n) for n in ("kept", "n_bytes", "removed")]).alias("__cut"))
+        same = same & (F.xxhash64("text") == F.col("key_body"))
+    joined = marked.join(repeats, same, "left").select("row", "text", "whole", "spans")
+    kind = "string" if as_text else "binary"
+    schema = f"row {joined.schema['row'].dataType.simpleString()}, kept {kind}, n_bytes bigint, removed array<struct<begin:bigint,end:bigint>>"
+    return map_batches(joined, partial(_cut_batch, as_text=as_text), schema)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut from their texts; all rows and other columns kept."""
+    cut = cut_repeats(docs, doc_id, text, as_text=True)
+    names = [F.col("kept").cast(docs.schema[text].dataType).alias(n) if n == text else F.col("row").getField(n).alias(n) for n in docs.columns]
+    return cut.select(*names)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from every document as repeated, and a digest of the rest."""
     cut = cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    size = F.aggregate("__cut.removed", F.lit(0).cast("bigint"), lambda total, run: total + run["end"] - run["begin"])
+    size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, run: total + run["end"] - run["begin"])
     return cut.select(
-        "doc_id",
-        F.col("__cut.n_bytes").alias("n_bytes"),
+        F.col("row.doc_id").alias("doc_id"),
+        "n_bytes",
         size.alias("n_removed"),
-        F.size("__cut.removed").cast("bigint").alias("n_spans"),
-        F.sha2(F.col("__cut.kept"), 256).alias("kept_sha256"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 
