@@ -84,7 +84,6 @@ m_reviews AS (
              ELSE 'ok' END AS review_comment_message,
         l_shipdate AS review_creation_date
     FROM lineitem
-    WHERE l_linenumber <= 2
 )"""
 
 PRODUCTS = """

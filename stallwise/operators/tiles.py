@@ -2,10 +2,11 @@
 
 A tile number depends only on which rows start tiles 2 to k. Those k-1 boundary
 rows are found by narrowing an interval around each: a small hashed sample
-proposes the next interval, one counting pass over the table says exactly on
-which side of it the boundary lies, and an interval of a few thousand rows is
-fetched and sorted. All orderings share every pass. The sample only steers the
-search; counts decide, so the tiles equal those of ``ntile(k)`` whatever it holds.
+proposes points, and one counting pass over the table says exactly how many rows
+come before each. A boundary is the point with its rank's rows before it; an
+interval no larger than the sample is drawn whole, so it proposes that very row.
+Tables of any size take this way. All orderings share every pass. The sample only
+steers the search; counts decide, so the tiles equal those of ``ntile(k)``.
 
 The driver sees a bounded number of sort keys and the executors see filters,
 counts and finally a comparison with k-1 literals per ordering.
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4096
-FETCH_ROWS = 4096
-MAX_ROUNDS = 40
 _HASH_SPAN = 1 << 30
 
 
@@ -71,6 +70,11 @@ class _Search:
             self._before[point] = F.col(self.name) < F.struct(*literals)
         return self._before[point]
 
+    def at(self, point: Row) -> Column:
+        """Condition: the row is at the point."""
+        literals = [F.lit(value).cast(f.dataType).alias(f.name) for f, value in zip(self._kind, point)]
+        return F.col(self.name) == F.struct(*literals)
+
     def inside(self) -> Column:
         condition = F.lit(True) if self.high is None else self.before(self.high)
         return condition if self.low is None else condition & ~self.before(self.low)
@@ -86,22 +90,20 @@ class _Search:
         places = floor(middle - margin), floor(middle), ceil(middle + margin)
         return [points[i] for i in places if 0 <= i < len(points)]
 
-    def narrow(self, point: Row, rows_before: int) -> None:
-        """Use the exact number of table rows before a point of the interval."""
+    def narrow(self, point: Row, rows_before: int, rows_equal: int) -> None:
+        """Use the exact number of table rows before, and equal to, a point of the interval."""
         top = self.below + self.size
         if not self.below <= rows_before <= top:
             return
-        if rows_before < self.rank:
+        if rows_before == self.rank - 1:
+            if rows_equal != 1:
+                raise ValueError(f"sort keys of {self.name} do not tell rows apart; add a tie key")
+            self.found = point
+        elif rows_before < self.rank:
             self.low, self.below, self.size = point, rows_before, top - rows_before
         else:
             self.high, self.size = point, rows_before - self.below
 
-    def settle(self, points: list[Row]) -> None:
-        index = self.rank - self.below - 1
-        if index and points[index - 1] == points[index]:
-            raise ValueError(f"sort keys of {self.name} do not tell rows apart; add a tie key")
-        self.found = points[index]
-
 
 def tile_starts(rows: int, tiles: int) -> list[int]:
     """Rank of the first row of tiles 2 to ``tiles``, as far as rows reach."""
@@ -135,32 +137,34 @@ def _tile(searches: list[_Search]) -> Column:
     return tile.cast("bigint")
 
 
-def _resolve(positions: DataFrame, searches: list[_Search]) -> None:
-    for turn in range(MAX_ROUNDS):
-        small = [s for s in searches if s.found is None and s.size <= FETCH_ROWS]
-        if small:
-            _fetch(positions, small)
-        large = [s for s in searches if s.found is None]
-        if not large:
-            return
-        _narrow(positions, large, turn)
-    raise ValueError("sort keys do not tell rows apart; add a tie key")
-
+def _resolve(positions: DataFrame, searches: list[_Search]) -> int:
+    """Narrow all intervals to their boundary rows; gives the number of rounds.
 
-def _fetch(positions: DataFrame, searches: list[_Search]) -> None:
-    """Settle searches whose interval is known to be small."""
-    for search, points in zip(searches, _collect(positions, searches)):
-        search.settle(points)
+    A round that moves nothing has had an unlucky sample and is repeated with twice
+    as large a one; with whole intervals drawn it means that keys are equal.
+    """
+    rounds, target = 0, SAMPLE_ROWS
+    while left := [s for s in searches if s.found is None]:
+        sizes = [s.size for s in left]
+        _narrow(positions, left, rounds, target)
+        rounds += 1
+        if [s.size for s in left] == sizes and all(s.found is None for s in left):
+            if target >= max(sizes):
+                raise ValueError(f"sort keys of {left[0].name} do not tell rows apart; add a tie key")
+            target *= 2
+        else:
+            target = SAMPLE_ROWS
+    return rounds
 
 
-def _narrow(positions: DataFrame, searches: list[_Search], turn: int) -> None:
+def _narrow(positions: DataFrame, searches: list[_Search], turn: int, target: int) -> None:
     """Sample the intervals, then count the rows before each proposed point.
 
     The largest interval sets the sampling rate, which bounds the sample.
     """
-    rate = min(1.0, SAMPLE_ROWS / max(s.size for s in searches))
+    rate = min(1.0, target / max(s.size for s in searches))
     draw = F.pmod(F.xxhash64(positions.columns[0], F.lit(turn)), F.lit(_HASH_SPAN))
-    sample = positions.filter(draw < ceil(_HASH_SPAN * rate))
+    sample = positions if rate == 1.0 else positions.filter(draw < ceil(_HASH_SPAN * rate))
     proposals = [
         (search, point)
         for search, points in zip(searches, _collect(sample, searches))
@@ -168,9 +172,12 @@ def _narrow(positions: DataFrame, searches: list[_Search], turn: int) -> None:
     ]
     if not proposals:
         return
-    counts = positions.agg(*[F.count(F.when(search.before(point), 1)) for search, point in proposals]).first()
-    for (search, point), rows_before in zip(proposals, counts):
-        search.narrow(point, rows_before)
+    before = [F.count(F.when(search.before(point), 1)) for search, point in proposals]
+    equal = [F.count(F.when(search.at(point), 1)) for search, point in proposals]
+    counts = positions.agg(*before, *equal).first()
+    for (search, point), rows_before, rows_equal in zip(proposals, counts, counts[len(proposals) :]):
+        if search.found is None:
+            search.narrow(point, rows_before, rows_equal)
 
 
 def _collect(positions: DataFrame, searches: list[_Search]) -> list[list[Row]]:

@@ -7,8 +7,12 @@ from market import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from conftest import TESTDATA
+
 from stallwise.operators import tiles
 from stallwise.operators.tiles import SortKey, tile_starts, with_tiles
+from stallwise.plans.catalog import run_report
+from stallwise.sources import testbed as derived
 
 ORDERINGS = {
     "down": (SortKey("n", ascending=False), SortKey("id")),
@@ -34,7 +38,6 @@ def frame(spark, values, partitions=4):
 @pytest.fixture
 def small_steps(monkeypatch):
     """Force several sampling rounds on small data."""
-    monkeypatch.setattr(tiles, "FETCH_ROWS", 7)
     monkeypatch.setattr(tiles, "SAMPLE_ROWS", 40)
 
 
@@ -57,6 +60,21 @@ def test_one_value_holds_almost_all_rows(spark, small_steps):
     assert {r["cnt"] for r in found.groupBy("up").agg(F.count("*").alias("cnt")).collect()} == {200}
 
 
+def test_boundaries_come_from_counting_rounds(spark, monkeypatch):
+    """Also on the smallest of the test tables, where whole intervals fit the sample."""
+    rounds = []
+    resolve = tiles._resolve
+    monkeypatch.setattr(tiles, "_resolve", lambda *args: rounds.append(resolve(*args)))
+    assert run_report("rfm_scores", derived.testbed(spark, str(TESTDATA / "sf0.01"))).count() > 0
+    assert rounds and rounds[0] >= 1
+
+
+def test_an_unlucky_sample_is_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "SAMPLE_ROWS", 1)
+    df = frame(spark, range(300))
+    assert sorted(rows(with_tiles(df, 5, ORDERINGS))) == sorted(rows(by_window(df, 5)))
+
+
 def test_keys_must_tell_rows_apart(spark, small_steps):
     with pytest.raises(ValueError, match="tie key"):
         with_tiles(frame(spark, [1] * 300), 5, {"up": (SortKey("n"),)})
