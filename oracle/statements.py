@@ -58,13 +58,15 @@ def repeated(table: str, keys: str) -> str:
     return f" SELECT {keys}, count(*) AS cnt FROM {table} GROUP BY ALL HAVING count(*) > 1"
 
 
+# The statuses, limits and labels in this module are those the reports are defined by.
 BAD_SEQUENCE = """order_purchase_timestamp IS NOT NULL AND order_delivered_carrier_date IS NOT NULL
     AND order_delivered_customer_date IS NOT NULL
-    AND order_delivered_carrier_date NOT BETWEEN order_purchase_timestamp AND order_delivered_customer_date"""
-EARLY_APPROVAL = "order_purchase_timestamp > order_approved_at"
-EARLY_ESTIMATE = "order_purchase_timestamp > order_estimated_delivery_date"
-UNDATED = "order_delivered_customer_date IS NULL AND order_status = 'delivered'"
-DATED_INCOMPLETE = "order_delivered_customer_date IS NOT NULL AND order_status IN ('unavailable', 'cancelled')"
+    AND (order_delivered_carrier_date < order_purchase_timestamp
+         OR order_delivered_customer_date < order_delivered_carrier_date)"""
+EARLY_APPROVAL = "order_approved_at < order_purchase_timestamp"
+EARLY_ESTIMATE = "order_estimated_delivery_date < order_purchase_timestamp"
+UNDATED = "order_status = 'delivered' AND order_delivered_customer_date IS NULL"
+DATED_INCOMPLETE = "order_status IN ('cancelled', 'unavailable') AND order_delivered_customer_date IS NOT NULL"
 
 ORDER_NULLS = {
     "null_order_id": "order_id",
@@ -127,7 +129,7 @@ def audits() -> dict[str, str]:
     )
     translation = lambda q: with_tables(TRANSLATION, query=q)
     blank_name = "product_category_name IN ('', ' ')"
-    outside = "review_score NOT BETWEEN 1 AND 5"
+    outside = "(review_score < 1 OR review_score > 5)"
     return {
         "orders_null_audit": orders(null_counts("m_orders", ORDER_NULLS)),
         "orders_duplicate_key": orders(repeated("m_orders", "order_id")),
@@ -153,11 +155,10 @@ def audits() -> dict[str, str]:
             FROM m_orders"""
         ),
         "approvals_in_order": orders(
-            " SELECT * FROM m_orders WHERE order_approved_at IS NOT NULL"
-            " AND NOT order_approved_at < order_purchase_timestamp"
+            " SELECT * FROM m_orders WHERE order_approved_at >= order_purchase_timestamp"
         ),
         "items_null_audit": items(null_counts("m_items", ITEM_NULLS)),
-        "items_invalid_price": items(count_if("m_items", "NOT price > 0", "total_invalid_prices")),
+        "items_invalid_price": items(count_if("m_items", "price <= 0", "total_invalid_prices")),
         "items_orphan_order": with_tables(
             ORDERS, ITEMS, query=orphans("m_items", "m_orders", "order_id", "orphaned_items_no_order")
         ),
@@ -200,19 +201,33 @@ def audits() -> dict[str, str]:
         "products_extreme_dimensions": products(
             count_if(
                 "m_products",
-                "product_weight_g > 100000"
-                " OR greatest(product_length_cm, product_height_cm, product_width_cm) > 200",
+                "product_weight_g > 100000 OR product_length_cm > 200"
+                " OR product_height_cm > 200 OR product_width_cm > 200",
                 "suspicious_dimensions",
             )
         ),
         "translation_empty_english": translation(
-            count_if("m_translation", "coalesce(product_category_name_english, '') IN ('', ' ')",
+            count_if("m_translation", "product_category_name_english IN ('', ' ') OR product_category_name_english IS NULL",
                      "empty_english_translations")
         ),
         "translation_empty_source": translation(
-            count_if("m_translation", "coalesce(product_category_name, '') IN ('', ' ')",
+            count_if("m_translation", "product_category_name IN ('', ' ') OR product_category_name IS NULL",
                      "empty_portuguese_categories")
         ),
+        "translation_empty_english_any_whitespace": translation(
+            count_if(
+                "m_translation",
+                "regexp_full_match(product_category_name_english, '\\s*') OR product_category_name_english IS NULL",
+                "empty_english_translations",
+            )
+        ),
+        "translation_empty_source_any_whitespace": translation(
+            count_if(
+                "m_translation",
+                "regexp_full_match(product_category_name, '\\s*') OR product_category_name IS NULL",
+                "empty_portuguese_categories",
+            )
+        ),
         "review_score_validation": reviews(
             f""" SELECT CAST(sum((review_score IS NULL)::INT) AS BIGINT) AS null_review_scores,
                 count(*) AS out_of_range_scores FROM m_reviews WHERE {outside}"""
@@ -232,7 +247,7 @@ def audits() -> dict[str, str]:
             WHERE copies > 1 ORDER BY distinct_orders DESC, review_id LIMIT 10"""
         ),
         "review_null_comments": reviews(
-            """ SELECT count(*) - count(review_comment_message) AS reviews_without_text,
+            """ SELECT count(*) FILTER (WHERE review_comment_message IS NULL) AS reviews_without_text,
                 count(*) AS total_reviews FROM m_reviews"""
         ),
         "review_empty_comments": reviews(
@@ -242,7 +257,7 @@ def audits() -> dict[str, str]:
             count_if("m_reviews", "regexp_full_match(review_comment_message, '\\s*')", "empty_comment_strings")
         ),
         "payments_null_audit": payments(null_counts("m_payments", PAYMENT_NULLS)),
-        "payments_invalid_value": payments(count_if("m_payments", "NOT payment_value > 0", "invalid_payment_values")),
+        "payments_invalid_value": payments(count_if("m_payments", "payment_value <= 0", "invalid_payment_values")),
         "payments_zero_rows": payments(
             """ SELECT order_id, payment_type, CAST(payment_value AS DOUBLE) AS payment_value, payment_installments
             FROM m_payments WHERE payment_value = 0"""
@@ -258,7 +273,7 @@ def audits() -> dict[str, str]:
             """ SELECT * FROM m_reviews QUALIFY row_number() OVER (PARTITION BY order_id
                 ORDER BY review_creation_date DESC, review_id, review_score NULLS FIRST) = 1"""
         ),
-        "reviews_with_text": reviews(" SELECT * FROM m_reviews WHERE length(review_comment_message) > 0"),
+        "reviews_with_text": reviews(" SELECT * FROM m_reviews WHERE review_comment_message <> ''"),
         "order_payment_totals": payments(
             f""" SELECT order_id, {amount('paid')} AS total_payment FROM (
                 SELECT order_id, sum({cents('payment_value')}) AS paid FROM m_payments GROUP BY order_id)"""
@@ -275,6 +290,13 @@ paid_orders AS (
 REVENUE = (ORDERS, PAYMENTS, PAID_ORDERS)
 
 
+def any_case(table: str) -> str:
+    """The same table with the delivered status in any case."""
+    return table.replace("o.order_status = 'delivered'", "lower(o.order_status) = 'delivered'").replace(
+        "WHERE order_status = 'delivered'", "WHERE lower(order_status) = 'delivered'"
+    )
+
+
 def paid_by(*columns: str, source: str = "paid_orders") -> str:
     """Grouped payments: orders, cents and payment rows."""
     return f"""(
@@ -313,6 +335,34 @@ def states(divisor: str) -> str:
     )
 
 
+def categories(translation: str) -> str:
+    return with_tables(
+        ORDERS,
+        ITEMS,
+        PRODUCTS,
+        TRANSLATION,
+        query=f""" SELECT category, total_orders, {amount('cents')} AS total_revenue,
+            {mean_amount('cents', 'priced')} AS avg_item_price,
+            {mean_amount('cents', 'total_orders')} AS revenue_per_order
+        FROM (
+            SELECT coalesce(t.product_category_name_english, 'Uncategorized') AS category,
+                   count(DISTINCT i.order_id) AS total_orders,
+                   sum({cents('i.price')}) AS cents, count(i.price) AS priced
+            FROM m_items i JOIN m_products p USING (product_id) JOIN m_orders o USING (order_id)
+            LEFT JOIN {translation} t ON t.product_category_name = p.product_category_name
+            WHERE o.order_status = 'delivered'
+            GROUP BY ALL)""",
+    )
+
+
+def gmv(*tables: str) -> str:
+    return with_tables(
+        *tables,
+        query=f""" SELECT order_year, order_month, total_orders, {amount('cents')} AS monthly_gmv,
+            {mean_amount('cents', 'total_orders')} AS avg_order_value FROM {paid_by(*MONTHS)}""",
+    )
+
+
 def revenue() -> dict[str, str]:
     calendar_months = f"""(
         SELECT year(first_day) AS order_year, month(first_day) AS order_month, cents
@@ -321,28 +371,10 @@ def revenue() -> dict[str, str]:
         LEFT JOIN {paid_by(*MONTHS)} g
           ON g.order_year = year(first_day) AND g.order_month = month(first_day))"""
     return {
-        "monthly_gmv": with_tables(
-            *REVENUE,
-            query=f""" SELECT order_year, order_month, total_orders, {amount('cents')} AS monthly_gmv,
-                {mean_amount('cents', 'total_orders')} AS avg_order_value FROM {paid_by(*MONTHS)}""",
-        ),
-        "category_revenue": with_tables(
-            ORDERS,
-            ITEMS,
-            PRODUCTS,
-            TRANSLATION,
-            query=f""" SELECT category, total_orders, {amount('cents')} AS total_revenue,
-                {mean_amount('cents', 'priced')} AS avg_item_price,
-                {mean_amount('cents', 'total_orders')} AS revenue_per_order
-            FROM (
-                SELECT coalesce(t.product_category_name_english, 'Uncategorized') AS category,
-                       count(DISTINCT i.order_id) AS total_orders,
-                       sum({cents('i.price')}) AS cents, count(i.price) AS priced
-                FROM m_items i JOIN m_products p USING (product_id) JOIN m_orders o USING (order_id)
-                LEFT JOIN m_translation t ON t.product_category_name = p.product_category_name
-                WHERE o.order_status = 'delivered'
-                GROUP BY ALL)""",
-        ),
+        "monthly_gmv": gmv(*REVENUE),
+        "monthly_gmv_ignore_case": gmv(ORDERS, PAYMENTS, any_case(PAID_ORDERS)),
+        "category_revenue": categories("m_translation"),
+        "category_revenue_after_upsert": categories(UPSERTED),
         "payment_type_revenue": with_tables(
             *REVENUE,
             query=f""" SELECT payment_type, total_orders, {amount('cents')} AS total_revenue,
@@ -443,15 +475,15 @@ deliveries AS (
            date_diff('day', order_purchase_timestamp, order_estimated_delivery_date) AS estimated_days,
            date_diff('day', order_purchase_timestamp, order_delivered_customer_date) AS actual_days,
            date_diff('day', order_estimated_delivery_date, order_delivered_customer_date) AS delay_days,
-           CAST(order_estimated_delivery_date >= order_delivered_customer_date AS BIGINT) AS on_time
+           CAST(order_delivered_customer_date <= order_estimated_delivery_date AS BIGINT) AS on_time
     FROM m_orders
     WHERE order_status = 'delivered'
-      AND order_estimated_delivery_date IS NOT NULL
-      AND least(order_delivered_customer_date, order_delivered_carrier_date) >= order_purchase_timestamp
       AND order_delivered_customer_date IS NOT NULL
-      AND order_delivered_carrier_date IS NOT NULL
+      AND order_estimated_delivery_date IS NOT NULL
+      AND order_delivered_customer_date >= order_purchase_timestamp
+      AND order_delivered_carrier_date >= order_purchase_timestamp
 )"""
-IN_SEQUENCE = "(SELECT * FROM deliveries WHERE order_delivered_carrier_date <= order_delivered_customer_date)"
+IN_SEQUENCE = "(SELECT * FROM deliveries WHERE order_delivered_customer_date >= order_delivered_carrier_date)"
 
 
 def days_by(columns: str, source: str) -> str:
@@ -462,10 +494,10 @@ def days_by(columns: str, source: str) -> str:
         FROM {source} GROUP BY ALL)"""
 
 
-def overall(source: str) -> str:
+def overall(source: str, deliveries: str = DELIVERIES) -> str:
     return with_tables(
         ORDERS,
-        DELIVERIES,
+        deliveries,
         query=f""" SELECT total_orders AS total_delivered_orders,
             {half_up('estimated', 'rows_counted', 1)} AS avg_estimated_days,
             {half_up('actual', 'rows_counted', 1)} AS avg_actual_days,
@@ -475,7 +507,7 @@ def overall(source: str) -> str:
     )
 
 
-def punctuality(late_from: int, reviews: str) -> str:
+def punctuality(late_from: int, reviews: str, source: str = "deliveries") -> str:
     return with_tables(
         ORDERS,
         DELIVERIES,
@@ -491,14 +523,14 @@ def punctuality(late_from: int, reviews: str) -> str:
                         ELSE 'Late (15+ days)' END AS delivery_status,
                    count(DISTINCT order_id) AS total_orders, count(*) AS rows_counted,
                    sum(review_score) AS score, count(review_score) AS scored,
-                   count(*) FILTER (WHERE review_score > 3) AS positive,
-                   count(*) FILTER (WHERE review_score < 3) AS negative
-            FROM deliveries JOIN {reviews} r USING (order_id)
+                   count(*) FILTER (WHERE review_score >= 4) AS positive,
+                   count(*) FILTER (WHERE review_score <= 2) AS negative
+            FROM {source} d JOIN {reviews} r USING (order_id)
             GROUP BY ALL)""",
     )
 
 
-def freight(band: str, items: str = "m_items", *tables: str) -> str:
+def freight(band: str, items: str = "m_items", *tables: str, source: str = "deliveries") -> str:
     return with_tables(
         ORDERS,
         DELIVERIES,
@@ -512,7 +544,7 @@ def freight(band: str, items: str = "m_items", *tables: str) -> str:
             SELECT {band} AS freight_bucket, count(DISTINCT order_id) AS total_orders, count(*) AS rows_counted,
                    sum({cents('freight_value')}) AS cents, count(freight_value) AS charged,
                    sum(actual_days) AS days, sum(on_time) AS punctual
-            FROM {items} i JOIN deliveries USING (order_id)
+            FROM {items} i JOIN {source} d USING (order_id)
             GROUP BY ALL)""",
     )
 
@@ -523,47 +555,60 @@ GAPPED_BAND = """CASE WHEN freight_value = 0 THEN 'Free'
     WHEN freight_value >= 41 AND freight_value <= 60 THEN '41-60 BRL'
     WHEN freight_value >= 61 AND freight_value <= 80 THEN '61-80 BRL'
     ELSE '80+ BRL' END"""
-CLOSED_BAND = """CASE WHEN coalesce(freight_value, -1) < 0 THEN 'Unknown'
-    WHEN freight_value > 80 THEN '80+ BRL'
-    WHEN freight_value > 60 THEN '61-80 BRL'
-    WHEN freight_value > 40 THEN '41-60 BRL'
-    WHEN freight_value > 20 THEN '21-40 BRL'
-    WHEN freight_value > 0 THEN '1-20 BRL'
-    ELSE 'Free' END"""
+CLOSED_BAND = """CASE WHEN freight_value = 0 THEN 'Free'
+    WHEN freight_value IS NULL OR freight_value < 0 THEN 'Unknown'
+    WHEN freight_value <= 20 THEN '1-20 BRL'
+    WHEN freight_value <= 40 THEN '21-40 BRL'
+    WHEN freight_value <= 60 THEN '41-60 BRL'
+    WHEN freight_value <= 80 THEN '61-80 BRL'
+    ELSE '80+ BRL' END"""
+
+
+def delivery_states(source: str) -> str:
+    placed = f"(SELECT * FROM {source} d JOIN m_customers USING (customer_id))"
+    return with_tables(
+        ORDERS,
+        DELIVERIES,
+        CUSTOMERS,
+        query=f""" SELECT customer_state, total_orders,
+            {half_up('estimated', 'rows_counted', 1)} AS avg_estimated_days,
+            {half_up('actual', 'rows_counted', 1)} AS avg_actual_days,
+            {half_up('delay', 'rows_counted', 1)} AS avg_delay_days,
+            {share('punctual', 'rows_counted')} AS on_time_pct,
+            rank() OVER (ORDER BY CAST(actual AS DOUBLE) / rows_counted DESC) AS slowest_rank
+        FROM {days_by('customer_state,', placed)}""",
+    )
+
+
+def punctual_months(source: str) -> str:
+    return with_tables(
+        ORDERS,
+        DELIVERIES,
+        query=f""" SELECT order_year, order_month, total_orders,
+            {half_up('actual', 'rows_counted', 1)} AS avg_actual_days,
+            {share('punctual', 'rows_counted')} AS on_time_pct
+        FROM {days_by(', '.join(MONTHS) + ',', source)}""",
+    )
 
 
 def delivery() -> dict[str, str]:
-    placed = "(SELECT * FROM deliveries JOIN m_customers USING (customer_id))"
     newest = """(SELECT * FROM m_reviews QUALIFY row_number() OVER (PARTITION BY order_id
         ORDER BY review_creation_date DESC, review_id, review_score NULLS FIRST) = 1)"""
     weighed = "(SELECT * FROM m_items WHERE product_id IN (SELECT product_id FROM m_products WHERE product_weight_g > 0))"
     return {
         "delivery_overall": overall("deliveries"),
         "delivery_overall_full_sequence": overall(IN_SEQUENCE),
-        "delivery_by_state": with_tables(
-            ORDERS,
-            DELIVERIES,
-            CUSTOMERS,
-            query=f""" SELECT customer_state, total_orders,
-                {half_up('estimated', 'rows_counted', 1)} AS avg_estimated_days,
-                {half_up('actual', 'rows_counted', 1)} AS avg_actual_days,
-                {half_up('delay', 'rows_counted', 1)} AS avg_delay_days,
-                {share('punctual', 'rows_counted')} AS on_time_pct,
-                rank() OVER (ORDER BY CAST(actual AS DOUBLE) / rows_counted DESC) AS slowest_rank
-            FROM {days_by('customer_state,', placed)}""",
-        ),
+        "delivery_overall_ignore_case": overall("deliveries", any_case(DELIVERIES)),
+        "delivery_by_state": delivery_states("deliveries"),
+        "delivery_by_state_full_sequence": delivery_states(IN_SEQUENCE),
         "punctuality_vs_review": punctuality(1, "m_reviews"),
         "punctuality_vs_review_same_day": punctuality(0, "m_reviews"),
         "punctuality_vs_latest_review": punctuality(1, newest),
-        "monthly_on_time": with_tables(
-            ORDERS,
-            DELIVERIES,
-            query=f""" SELECT order_year, order_month, total_orders,
-                {half_up('actual', 'rows_counted', 1)} AS avg_actual_days,
-                {share('punctual', 'rows_counted')} AS on_time_pct
-            FROM {days_by(', '.join(MONTHS) + ',', 'deliveries')}""",
-        ),
+        "punctuality_vs_review_full_sequence": punctuality(1, "m_reviews", IN_SEQUENCE),
+        "monthly_on_time": punctual_months("deliveries"),
+        "monthly_on_time_full_sequence": punctual_months(IN_SEQUENCE),
         "freight_vs_speed": freight(GAPPED_BAND),
+        "freight_vs_speed_full_sequence": freight(GAPPED_BAND, source=IN_SEQUENCE),
         "freight_vs_speed_without_gaps": freight(CLOSED_BAND),
         "freight_vs_speed_weighed_only": freight(GAPPED_BAND, weighed, PRODUCTS),
         "valid_delivery_rows": with_tables(

@@ -7,6 +7,7 @@ loaded_orders AS (
         CASE WHEN o_orderkey % 613 <> 0 THEN o_custkey END AS customer_id,
         CASE
             WHEN o_orderkey % 601 = 0 THEN NULL
+            WHEN o_orderstatus = 'F' AND o_orderkey % 11 = 0 THEN 'Delivered'
             WHEN o_orderstatus = 'F' THEN 'delivered'
             WHEN o_orderstatus = 'O' THEN 'shipped'
             WHEN o_orderkey % 4 = 1 THEN 'cancelled'
@@ -94,6 +95,8 @@ loaded_products AS (
              WHEN p_partkey % 101 = 0 THEN ''
              WHEN p_partkey % 103 = 0 THEN ' '
              WHEN p_partkey % 107 = 0 THEN '  '
+             WHEN p_partkey % 109 = 0 THEN 'pc_gamer'
+             WHEN p_partkey % 113 = 0 THEN 'portateis_cozinha_e_preparadores_de_alimentos'
              ELSE p_type END AS product_category_name,
         CASE WHEN p_partkey % 41 <> 0 THEN length(p_name) END AS product_name_length,
         CASE WHEN p_partkey % 43 <> 0 THEN p_size * 37 END AS product_description_length,
@@ -121,8 +124,10 @@ m_translation AS (
     FROM part
     WHERE p_type NOT IN ('SMALL', 'LARGE')
     UNION
-    SELECT CASE p_brand WHEN 'Brand#13' THEN '' WHEN 'Brand#14' THEN ' ' WHEN 'Brand#15' THEN NULL ELSE p_brand END,
+    SELECT CASE p_brand WHEN 'Brand#13' THEN '' WHEN 'Brand#14' THEN ' ' WHEN 'Brand#15' THEN NULL
+                        WHEN 'Brand#19' THEN chr(9) || ' ' ELSE p_brand END,
            CASE p_brand WHEN 'Brand#16' THEN '' WHEN 'Brand#17' THEN ' ' WHEN 'Brand#18' THEN NULL
+                        WHEN 'Brand#20' THEN '  '
                         ELSE 'English ' || p_brand END
     FROM part
 )"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ SEGMENT_GRID = {
     5: ("New Customer", "New Customer", "Potential Loyalist", "Loyal Customer", "Loyal Customer"),
 }
 CHAMPION = "Champion"
+CHAMPION_SCORES = ((5, 5, 5), (5, 5, 4), (4, 5, 5))  # recency, frequency, monetary
 
 
 def lateness_band(on_time: str, delay_days: str, same_day_is_first_band: bool = False) -> Column:
@@ -68,7 +72,7 @@ def freight_label(band: str) -> Column:
 def customer_segment(r: str, f: str, m: str) -> Column:
     """Segment from the three 1-to-5 scores."""
     recency, frequency, monetary = F.col(r), F.col(f), F.col(m)
-    champion = (frequency == 5) & (recency >= 4) & (monetary >= 4) & (recency + monetary >= 9)
+    champion = reduce(or_, [(recency == a) & (frequency == b) & (monetary == c) for a, b, c in CHAMPION_SCORES])
     labels = F.array(*[F.lit(name) for row in sorted(SEGMENT_GRID) for name in SEGMENT_GRID[row]])
     cell = (recency - 1) * 5 + frequency
     return F.when(champion, CHAMPION).otherwise(F.element_at(labels, cell.cast("int")))

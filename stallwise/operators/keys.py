@@ -41,7 +41,8 @@ def multi_valued_groups(df: DataFrame, key: str, column: str, name: str) -> Data
     """Number of keys with more than one distinct non-NULL value.
 
     More than one value means the smallest differs from the largest, which needs
-    one exchange where a distinct count needs two.
+    one exchange where a distinct count needs two. Smallest and largest of a string
+    sort each side of the exchange.
     """
     spans = df.groupBy(key).agg(F.min(column).alias("low"), F.max(column).alias("high"))
     return spans.filter(F.col("low") != F.col("high")).agg(count_rows().alias(name))
@@ -65,10 +66,19 @@ def uncovered_values(df: DataFrame, column: str, reference: DataFrame) -> DataFr
 
 
 def upsert_reference(reference: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Reference table plus the rows whose key it lacks.
+    """Reference table plus the rows whose key it lacks; NULL is a key like any other.
 
     Inputs stay as they are; the result is the next version of the table, and
-    applying the same rows to it again changes nothing.
+    applying the same rows to it again changes nothing. Rows that repeat are one
+    row; rows with one key and different values fail the job.
     """
-    present = reference.select(key).distinct()
-    return reference.unionByName(rows.dropDuplicates([key]).join(present, key, "left_anti"))
+    others = F.struct(*[F.col(name) for name in rows.columns if name != key])
+    by_key = rows.groupBy(key).agg(F.min(others).alias("low"), F.max(others).alias("high"))
+    conflict = F.raise_error(F.concat(F.lit(f"conflicting rows for {key} "), F.coalesce(F.col(key), F.lit("NULL"))))
+    agreed = F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low"))
+    agreed = agreed.otherwise(conflict.cast(by_key.schema["low"].dataType))
+    single = by_key.select(key, agreed.alias("row")).select(
+        *[F.col(key) if name == key else F.col("row").getField(name).alias(name) for name in rows.columns]
+    )
+    present = reference.select(F.col(key).alias("_present")).distinct()
+    return reference.unionByName(single.join(present, single[key].eqNullSafe(present["_present"]), "left_anti"))

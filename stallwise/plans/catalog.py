@@ -92,6 +92,17 @@ _VARIANTS: dict[str, Report] = {
     "punctuality_vs_latest_review": partial(delivery.punctuality_vs_review, latest_only=True),
     "freight_vs_speed_without_gaps": partial(delivery.freight_vs_speed, without_gaps=True),
     "freight_vs_speed_weighed_only": partial(delivery.freight_vs_speed, weighed_only=True),
+    "delivery_by_state_full_sequence": partial(delivery.delivery_by_state, full_sequence=True),
+    "monthly_on_time_full_sequence": partial(delivery.monthly_on_time, full_sequence=True),
+    "punctuality_vs_review_full_sequence": partial(delivery.punctuality_vs_review, full_sequence=True),
+    "freight_vs_speed_full_sequence": partial(delivery.freight_vs_speed, full_sequence=True),
+    "translation_empty_english_any_whitespace": partial(
+        products_audit.translation_empty_english, any_whitespace=True
+    ),
+    "translation_empty_source_any_whitespace": partial(products_audit.translation_empty_source, any_whitespace=True),
+    "monthly_gmv_ignore_case": partial(revenue.monthly_gmv, ignore_case=True),
+    "delivery_overall_ignore_case": partial(delivery.delivery_overall, ignore_case=True),
+    "category_revenue_after_upsert": products_audit.after_upsert(revenue.category_revenue),
 }
 
 REPORTS: dict[str, Report] = {report.__name__: report for report in _REPORTS} | _VARIANTS

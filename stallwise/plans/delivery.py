@@ -47,19 +47,26 @@ def lead_times(deliveries: DataFrame, *columns: str | Column) -> DataFrame:
     )
 
 
-def delivery_kpis(deliveries: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """Distinct orders and summed day measures, ``weight`` times each row."""
+def delivery_kpis(
+    deliveries: DataFrame, by: Sequence[str] = (), weight: str | None = None, unique: bool = False
+) -> DataFrame:
+    """Distinct orders and summed day measures, ``weight`` times each row.
+
+    With ``unique`` no order key repeats, so rows are counted and only groups are exchanged.
+    """
+    orders = F.count("order_id") if unique else F.countDistinct("order_id")
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     measures = ("estimated_days", "actual_days", "delay_days", "on_time")
     return deliveries.groupBy(*by).agg(
-        F.countDistinct("order_id").alias("total_orders"),
+        orders.alias("total_orders"),
         F.sum(times).alias("rows"),
         *[F.sum(F.col(name) * times).alias(name) for name in measures],
     )
 
 
-def delivery_overall(m: Marketplace, full_sequence: bool = False) -> DataFrame:
-    kpis = delivery_kpis(lead_times(valid_deliveries(m.orders, full_sequence)))
+def delivery_overall(m: Marketplace, full_sequence: bool = False, ignore_case: bool = False) -> DataFrame:
+    deliveries = lead_times(valid_deliveries(m.orders, full_sequence, ignore_case))
+    kpis = delivery_kpis(deliveries, unique=m.is_unique("orders"))
     return kpis.select(
         F.col("total_orders").alias("total_delivered_orders"),
         mean("estimated_days", "rows", 1).alias("avg_estimated_days"),
@@ -69,11 +76,12 @@ def delivery_overall(m: Marketplace, full_sequence: bool = False) -> DataFrame:
     )
 
 
-def delivery_by_state(m: Marketplace) -> DataFrame:
+def delivery_by_state(m: Marketplace, full_sequence: bool = False) -> DataFrame:
     """Delivery figures per customer state, ranked by the unrounded mean."""
     customers = fold(m.customers, "customer_id", ["customer_state"], unique=m.is_unique("customers"))
-    deliveries = lead_times(valid_deliveries(m.orders), "customer_id").join(customers, "customer_id")
-    kpis = delivery_kpis(deliveries, ["customer_state"], "copies")
+    deliveries = lead_times(valid_deliveries(m.orders, full_sequence), "customer_id").join(customers, "customer_id")
+    unique = m.is_unique("orders") and m.is_unique("customers")
+    kpis = delivery_kpis(deliveries, ["customer_state"], "copies", unique)
     return (
         with_rank(kpis, F.desc(F.col("actual_days") / F.col("rows")), "slowest_rank")
         .select(
@@ -89,14 +97,14 @@ def delivery_by_state(m: Marketplace) -> DataFrame:
     )
 
 
-def monthly_on_time(m: Marketplace) -> DataFrame:
+def monthly_on_time(m: Marketplace, full_sequence: bool = False) -> DataFrame:
     deliveries = lead_times(
-        valid_deliveries(m.orders),
+        valid_deliveries(m.orders, full_sequence),
         calendar.year(PURCHASE).alias("order_year"),
         calendar.month(PURCHASE).alias("order_month"),
     )
     return (
-        delivery_kpis(deliveries, ["order_year", "order_month"])
+        delivery_kpis(deliveries, ["order_year", "order_month"], unique=m.is_unique("orders"))
         .select(
             "order_year",
             "order_month",
@@ -109,7 +117,7 @@ def monthly_on_time(m: Marketplace) -> DataFrame:
 
 
 def punctuality_vs_review(
-    m: Marketplace, same_day_is_first_band: bool = False, latest_only: bool = False
+    m: Marketplace, same_day_is_first_band: bool = False, latest_only: bool = False, full_sequence: bool = False
 ) -> DataFrame:
     """Review scores per lateness band.
 
@@ -118,7 +126,7 @@ def punctuality_vs_review(
     """
     band = lateness_band("on_time", "delay_days", same_day_is_first_band)
     orders = fold(
-        lead_times(valid_deliveries(m.orders)).withColumn("delivery_status", band),
+        lead_times(valid_deliveries(m.orders, full_sequence)).withColumn("delivery_status", band),
         "order_id",
         ["delivery_status"],
         unique=m.is_unique("orders"),
@@ -151,13 +159,15 @@ def punctuality_vs_review(
     )
 
 
-def freight_vs_speed(m: Marketplace, without_gaps: bool = False, weighed_only: bool = False) -> DataFrame:
+def freight_vs_speed(
+    m: Marketplace, without_gaps: bool = False, weighed_only: bool = False, full_sequence: bool = False
+) -> DataFrame:
     """Delivery speed per freight band, averaged over item rows.
 
     ``weighed_only`` keeps items whose product has a positive weight.
     """
     orders = fold(
-        lead_times(valid_deliveries(m.orders)),
+        lead_times(valid_deliveries(m.orders, full_sequence)),
         "order_id",
         measures={"days": F.col("actual_days"), "on_time": F.col("on_time")},
         unique=m.is_unique("orders"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -77,6 +78,13 @@ def category_translation_upsert(m: Marketplace, rows: tuple[tuple[str, str], ...
     return keys.upsert_reference(table, new, "product_category_name")
 
 
+def after_upsert(
+    report: Callable[[Marketplace], DataFrame], rows: tuple[tuple[str, str], ...] = NEW_TRANSLATIONS
+) -> Callable[[Marketplace], DataFrame]:
+    """The same report over the next version of the translation table."""
+    return lambda m: report(m.replace(category_translation=category_translation_upsert(m, rows)))
+
+
 def verify_translation_upsert(m: Marketplace, rows: tuple[tuple[str, str], ...] = NEW_TRANSLATIONS) -> DataFrame:
     """The upserted rows as found in the next version of the table."""
     names = [name for name, _ in rows]

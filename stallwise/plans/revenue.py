@@ -119,8 +119,10 @@ def mom_growth(m: Marketplace, by_calendar: bool = False) -> DataFrame:
 def category_revenue(m: Marketplace) -> DataFrame:
     """Item revenue per English category name.
 
-    Items meet products and names first, unfolded for the sake of the order key;
-    a best seller is left to the adaptive skew split. The order join comes last.
+    Names are joined to products and the result folded by product and name, so items meet
+    one narrow table by product key and never travel by category. Items stay unfolded for
+    the sake of the order key; a best seller is left to the adaptive skew split. The order
+    join comes last.
     """
     names = fold(
         m.category_translation,
@@ -129,13 +131,16 @@ def category_revenue(m: Marketplace) -> DataFrame:
         unique=m.is_unique("category_translation"),
     ).withColumnRenamed("copies", "name_copies")
     products = fold(m.products, "product_id", ["product_category_name"], unique=m.is_unique("products"))
-    items = m.order_items.select("order_id", "product_id", cents("price").alias("price"))
     label = F.coalesce("product_category_name_english", F.lit(UNCATEGORIZED))
     times = F.col("copies") * F.coalesce("name_copies", F.lit(1))
+    named = products.join(names, "product_category_name", "left").select(
+        "product_id", label.alias("category"), times.alias("times")
+    )
+    if not (m.is_unique("products") and m.is_unique("category_translation")):
+        named = named.groupBy("product_id", "category").agg(F.sum("times").alias("times"))
+    items = m.order_items.select("order_id", "product_id", cents("price").alias("price"))
     sold = (
-        items.join(products, "product_id")
-        .join(names, "product_category_name", "left")
-        .select("order_id", "price", label.alias("category"), times.alias("times"))
+        items.join(named, "product_id")
         .groupBy("order_id", "category")
         .agg(
             F.sum(F.col("price") * F.col("times")).alias("amount"),

@@ -98,7 +98,10 @@ def _orders(read: Read) -> DataFrame:
         _null_every(
             "o_orderkey",
             601,
-            F.when(status == "F", "delivered").when(status == "O", "shipped").otherwise(part_status),
+            F.when((status == "F") & (k % 11 == 0), "Delivered")
+            .when(status == "F", "delivered")
+            .when(status == "O", "shipped")
+            .otherwise(part_status),
         ).alias("order_status"),
         after(k % 24).alias("order_purchase_timestamp"),
         _null_every("o_orderkey", 97, after(k % 24 + k % 50 - 1)).alias("order_approved_at"),
@@ -181,6 +184,8 @@ def _products(read: Read) -> DataFrame:
         F.when(_every("p_partkey", 101), "")
         .when(_every("p_partkey", 103), " ")
         .when(_every("p_partkey", 107), "  ")
+        .when(_every("p_partkey", 109), "pc_gamer")
+        .when(_every("p_partkey", 113), "portateis_cozinha_e_preparadores_de_alimentos")
         .otherwise(F.col("p_type"))
     )
     rows = read("part").select(
@@ -209,9 +214,13 @@ def _category_translation(read: Read) -> DataFrame:
         )
     )
     brands = read("part").select(
-        F.when(brand == "Brand#13", "").when(brand == "Brand#14", " ").when(brand != "Brand#15", brand),
+        F.when(brand == "Brand#13", "")
+        .when(brand == "Brand#14", " ")
+        .when(brand == "Brand#19", "\t ")
+        .when(brand != "Brand#15", brand),
         F.when(brand == "Brand#16", "")
         .when(brand == "Brand#17", " ")
+        .when(brand == "Brand#20", "  ")
         .when(brand != "Brand#18", F.concat(F.lit("English "), brand)),
     )
     return types.union(brands).distinct()
