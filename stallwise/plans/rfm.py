@@ -11,7 +11,7 @@ from stallwise.functions.measures import count_rows, mean, mean_money, money
 from stallwise.marketplace import Marketplace
 from stallwise.operators.grouping import with_share_of_total
 from stallwise.operators.tiles import SortKey, with_tiles
-from stallwise.plans.revenue import PURCHASE, defined_payments, delivered_with_customer, fold_payments
+from stallwise.plans.revenue import PURCHASE, defined_payments, delivered, delivered_with_customer, fold_payments
 from stallwise.session import materialise
 
 TILES = 5
@@ -25,10 +25,25 @@ SCORES = {
 }
 
 
-def person_metrics(m: Marketplace) -> DataFrame:
-    """Last order, recency, distinct orders and cents paid per person.
+# An order key is heavy when more than one in so many delivered orders have it; so
+# there are fewer heavy keys than this, and they can be broadcast at any size.
+HEAVY_ONE_IN = 1000
 
-    Recency counts back from the latest purchase among all orders, delivered or not.
+
+def heavy_orders(m: Marketplace) -> DataFrame:
+    """Order keys that a share of all delivered orders have, with the parts to split them in."""
+    orders = delivered(m.orders)
+    rows = orders.agg(count_rows()).scalar()
+    counted = orders.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(count_rows().alias("rows"))
+    parts = F.ceil(F.col("rows") * HEAVY_ONE_IN / rows)
+    return counted.filter(F.col("rows") * HEAVY_ONE_IN > rows).select("order_id", parts.cast("bigint").alias("parts"))
+
+
+def paid_orders(m: Marketplace) -> DataFrame:
+    """Delivered orders by person with what was paid for them.
+
+    The orders of a heavy key with different persons cannot be folded. They are split
+    by person, and the one row of the key's payments is repeated for each part.
     """
     orders = (
         delivered_with_customer(m, PERSON, PURCHASE)
@@ -36,9 +51,23 @@ def person_metrics(m: Marketplace) -> DataFrame:
         .agg(F.max(PURCHASE).alias("last_order_date"), F.sum("copies").alias("copies"))
     )
     payments = fold_payments(defined_payments(m.order_payments)).drop("copies", "payments")
+    if m.is_unique("orders"):
+        return orders.join(payments, "order_id")
+    heavy = F.broadcast(heavy_orders(m))
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    split = orders.join(heavy, "order_id", "left").withColumn("part", F.pmod(F.xxhash64(PERSON), parts))
+    each = payments.join(heavy, "order_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return split.drop("parts").join(each.drop("parts"), ["order_id", "part"]).drop("part")
+
+
+def person_metrics(m: Marketplace) -> DataFrame:
+    """Last order, recency, distinct orders and cents paid per person.
+
+    Recency counts back from the latest purchase among all orders, delivered or not.
+    """
     latest = m.orders.agg(F.max(PURCHASE)).scalar()
     return (
-        orders.join(payments, "order_id")
+        paid_orders(m)
         .groupBy(PERSON)
         .agg(
             F.max("last_order_date").alias("last_order_date"),

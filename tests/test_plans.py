@@ -9,6 +9,7 @@ from market import rows
 from pyspark.sql import functions as F
 
 from stallwise import REPORTS, Marketplace
+from stallwise.plans import rfm
 from stallwise.plans.catalog import run_report
 from stallwise.sources.schemas import SCHEMAS
 from stallwise.sources import testbed as derived
@@ -116,7 +117,16 @@ def test_no_python_no_cross_join(hot_market, no_broadcast, name):
 @pytest.mark.parametrize(
     ("name", "folded", "unique"),
     # Orders and payments once each and the groups; folded orders travel twice.
-    [("monthly_gmv", 4, 3), ("freight_vs_speed", 4, 4), ("rfm_base", 7, 6), ("state_revenue", 7, 6)],
+    # The heavy keys of rfm_base are counted by one exchange on either side of its order join.
+    [
+        ("monthly_gmv", 4, 3),
+        ("freight_vs_speed", 4, 4),
+        ("rfm_base", 10, 6),
+        ("state_revenue", 7, 6),
+        ("delivery_by_state", 5, 3),
+        ("monthly_on_time", 2, 1),
+        ("delivery_overall", 1, 0),
+    ],
 )
 def test_exchanges(hot_market, no_broadcast, hot_folder, spark, name, folded, unique):
     assert exchanges(run_report(name, hot_market)) == folded
@@ -143,6 +153,51 @@ def test_hot_customer_or_product_is_split(hot_market, no_broadcast, setting, nam
     assert "skew=true" in plan(df)
 
 
+def test_items_never_travel_by_category(hot_market, no_broadcast):
+    text = plan(run_report("category_revenue", hot_market))
+    exchanges_by_category = [
+        line for line in text.splitlines() if re.search(r"Exchange hashpartitioning\(product_category_name", line)
+    ]
+    assert exchanges_by_category
+    below = text[text.index("Exchange hashpartitioning(product_category_name") :]
+    assert "product_category_name" in below and "order_item" not in below and "price" not in below.split("FileScan")[0]
+
+
+def test_hot_order_of_many_persons_is_split(spark, tmp_path, no_broadcast, setting):
+    """One key on a third of the orders, each with a customer of its own."""
+    n, text = F.col("id"), F.col("id").cast("string")
+    key = F.when(n % 3 == 0, HOT).otherwise(text)
+    day = F.expr("timestamp_ntz'2018-01-01 00:00:00'")
+    tables = {
+        "orders": spark.range(0, 12000, 1, 6).select(
+            key.alias("order_id"), text.alias("customer_id"), F.lit("delivered").alias("order_status"),
+            F.timestamp_add("DAY", n % 300, day).alias("order_purchase_timestamp"),
+        ),
+        "customers": spark.range(0, 12000, 1, 6).select(
+            text.alias("customer_id"), text.alias("customer_unique_id"), F.lit("SP").alias("customer_state")
+        ),
+        "order_payments": spark.range(0, 12000, 1, 6).select(
+            key.alias("order_id"), F.lit("boleto").alias("payment_type"), (n % 7).cast("decimal(18,2)").alias("payment_value")
+        ),
+    }
+    for name, schema in SCHEMAS.items():
+        df = tables.get(name, spark.createDataFrame([], schema))
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in df.columns]
+        df.select("*", *missing).select(*schema.names).write.parquet(f"{tmp_path}/{name}")
+    market = Marketplace.from_folder(spark, str(tmp_path))
+    market.register_views()
+    expected = spark.sql(
+        """SELECT customer_unique_id, count(DISTINCT order_id), cast(sum(payment_value) AS double)
+        FROM orders JOIN customers USING (customer_id) JOIN order_payments USING (order_id) GROUP BY 1"""
+    )
+    found = run_report("rfm_base", market)
+    assert sorted(rows(found.select("customer_unique_id", "frequency", "monetary"))) == sorted(rows(expected))
+    setting("spark.sql.adaptive.enabled", "false")
+    setting("spark.sql.shuffle.partitions", "16")
+    per_task = rfm.paid_orders(market).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in per_task) < 12000 / 16 * 2
+
+
 PLAIN_SQL = {
     "monthly_gmv": """
         SELECT year(order_purchase_timestamp), month(order_purchase_timestamp), count(DISTINCT order_id),
