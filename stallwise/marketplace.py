@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stallwise.operators.keys import duplicate_keys
-from stallwise.sources.readers import read_table
+from stallwise.sources.readers import conform, read_table
 from stallwise.sources.schemas import PRIMARY_KEYS, SCHEMAS
+from stallwise.sources.sinks import read_reference_version, versions_folder
 
 # Tables that reports fold by their primary key.
 FOLDED_TABLES = ("orders", "customers", "products", "category_translation")
@@ -57,7 +58,8 @@ class Marketplace:
 
     @classmethod
     def from_frames(cls, frames: dict[str, DataFrame], unique: Iterable[str] = ()) -> Marketplace:
-        return cls(frames.__getitem__, unique)
+        """Given DataFrames; columns are taken by name and in their declared types."""
+        return cls(lambda n: conform(frames[n], n), unique)
 
     @classmethod
     def from_folder(
@@ -66,19 +68,31 @@ class Marketplace:
         folder: str,
         file_format: str = "parquet",
         unique: Iterable[str] = (),
+        versions: Mapping[str, int] | None = None,
         **read_options: bool,
     ) -> Marketplace:
-        """Tables stored as ``<folder>/<table>`` (parquet) or ``<folder>/<table>.csv``."""
-        return cls(lambda n: read_table(spark, folder, n, file_format, **read_options), unique)
+        """Tables stored as ``<folder>/<table>`` (parquet) or ``<folder>/<table>.csv``.
+
+        ``versions`` names reference tables of which a stored version is to be read.
+        """
+        versions = versions or {}
+
+        def load(name: str) -> DataFrame:
+            if name in versions:
+                stored = read_reference_version(spark, versions_folder(folder, name), versions[name])
+                return conform(stored, name)
+            return read_table(spark, folder, name, file_format, **read_options)
+
+        return cls(load, unique)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str | None = None, unique: Iterable[str] = ()) -> Marketplace:
-        """Tables registered in the session catalog.
+        """Tables registered in the session catalog, brought to their declared types.
 
         Order-keyed tables bucketed by ``order_id`` join without an exchange.
         """
         prefix = f"{database}." if database else ""
-        return cls(lambda n: spark.table(f"{prefix}{n}"), unique)
+        return cls(lambda n: conform(spark.table(f"{prefix}{n}"), n), unique)
 
     def register_views(self) -> None:
         """Expose every table as a temp view for users who write SQL."""

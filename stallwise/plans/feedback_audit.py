@@ -63,8 +63,7 @@ def payments_invalid_value(m: Marketplace) -> DataFrame:
 
 
 def payments_zero_rows(m: Marketplace) -> DataFrame:
-    zero = audit.violating_rows(m.order_payments, F.col("payment_value") == 0)
-    return zero.withColumn("payment_value", F.col("payment_value").cast("double"))
+    return audit.violating_rows(m.order_payments, F.col("payment_value") == 0)
 
 
 def payment_type_distribution(m: Marketplace) -> DataFrame:

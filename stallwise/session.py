@@ -7,10 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings the plans count on. A raw join side that carries a hot
+# Runtime SQL settings the plans count on. Sums of cents and counts are 64-bit
+# integers: with ANSI mode an overflow fails instead of wrapping. A raw join side that carries a hot
 # key is split at run time by the adaptive skew rule; "force" lets it do so even
 # where the split costs the following aggregate one more exchange.
-ADAPTIVE_SETTINGS = {
+SETTINGS = {
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -19,8 +21,8 @@ ADAPTIVE_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the adaptive settings to a running session and return it."""
-    for name, value in ADAPTIVE_SETTINGS.items():
+    """Apply the settings to a running session and return it."""
+    for name, value in SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
     return spark

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_report(df: DataFrame, path: str, file_format: str = "parquet") -> None:
@@ -19,3 +19,12 @@ def write_reference_version(df: DataFrame, root: str, version: int) -> str:
     path = f"{root.rstrip('/')}/version={version}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def versions_folder(folder: str, table: str) -> str:
+    """Where the versions of a reference table are kept, beside the tables."""
+    return f"{folder.rstrip('/')}/{table}_versions"
+
+
+def read_reference_version(spark: SparkSession, root: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{root.rstrip('/')}/version={version}")
