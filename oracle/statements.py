@@ -68,6 +68,11 @@ EARLY_ESTIMATE = "order_estimated_delivery_date < order_purchase_timestamp"
 UNDATED = "order_status = 'delivered' AND order_delivered_customer_date IS NULL"
 DATED_INCOMPLETE = "order_status IN ('cancelled', 'unavailable') AND order_delivered_customer_date IS NOT NULL"
 
+EXTREME = """product_weight_g > 100000 OR product_length_cm > 200
+    OR product_height_cm > 200 OR product_width_cm > 200"""
+NO_ENGLISH = "product_category_name_english IN ('', ' ') OR product_category_name_english IS NULL"
+NO_SOURCE = "product_category_name IN ('', ' ') OR product_category_name IS NULL"
+
 ORDER_NULLS = {
     "null_order_id": "order_id",
     "null_customer_id": "customer_id",
@@ -154,6 +159,27 @@ def audits() -> dict[str, str]:
                 count(*) FILTER (WHERE {DATED_INCOMPLETE}) AS cancelled_but_delivered
             FROM m_orders"""
         ),
+        "items_rule_audit": items(
+            """ SELECT count(*) FILTER (WHERE price <= 0) AS total_invalid_prices,
+                count(*) FILTER (WHERE freight_value = 0) AS free_shipping_count FROM m_items"""
+        ),
+        "products_rule_audit": products(
+            f""" SELECT count(*) FILTER (WHERE {blank_name}) AS empty_category_strings,
+                count(*) FILTER (WHERE {EXTREME}) AS suspicious_dimensions FROM m_products"""
+        ),
+        "translation_rule_audit": translation(
+            f""" SELECT count(*) FILTER (WHERE {NO_ENGLISH}) AS empty_english_translations,
+                count(*) FILTER (WHERE {NO_SOURCE}) AS empty_portuguese_categories FROM m_translation"""
+        ),
+        "reviews_rule_audit": reviews(
+            f""" SELECT count(*) FILTER (WHERE {outside}) AS out_of_range_scores,
+                count(*) FILTER (WHERE review_comment_message IS NULL) AS reviews_without_text,
+                count(*) FILTER (WHERE review_comment_message IN ('', ' ')) AS empty_comment_strings FROM m_reviews"""
+        ),
+        "payments_rule_audit": payments(
+            """ SELECT count(*) FILTER (WHERE payment_value <= 0) AS invalid_payment_values,
+                count(*) FILTER (WHERE payment_value = 0) AS zero_payment_values FROM m_payments"""
+        ),
         "approvals_in_order": orders(
             " SELECT * FROM m_orders WHERE order_approved_at >= order_purchase_timestamp"
         ),
@@ -200,18 +226,15 @@ def audits() -> dict[str, str]:
         ),
         "products_extreme_dimensions": products(
             count_if(
-                "m_products",
-                "product_weight_g > 100000 OR product_length_cm > 200"
-                " OR product_height_cm > 200 OR product_width_cm > 200",
-                "suspicious_dimensions",
+                "m_products", EXTREME, "suspicious_dimensions"
             )
         ),
         "translation_empty_english": translation(
-            count_if("m_translation", "product_category_name_english IN ('', ' ') OR product_category_name_english IS NULL",
+            count_if("m_translation", NO_ENGLISH,
                      "empty_english_translations")
         ),
         "translation_empty_source": translation(
-            count_if("m_translation", "product_category_name IN ('', ' ') OR product_category_name IS NULL",
+            count_if("m_translation", NO_SOURCE,
                      "empty_portuguese_categories")
         ),
         "translation_empty_english_any_whitespace": translation(

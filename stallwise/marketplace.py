@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from stallwise.operators.keys import duplicate_keys
+from stallwise.session import materialise
 from stallwise.sources.readers import conform, read_table
 from stallwise.sources.schemas import PRIMARY_KEYS, SCHEMAS
 from stallwise.sources.sinks import read_reference_version, versions_folder
@@ -27,6 +28,7 @@ class Marketplace:
         self._load = load
         self._tables: dict[str, DataFrame] = {}
         self._unique = frozenset(unique)
+        self._shared: dict[str, DataFrame] | None = None
         unknown = self._unique - PRIMARY_KEYS.keys()
         if unknown:
             raise ValueError(f"tables without a primary key: {sorted(unknown)}")
@@ -41,6 +43,25 @@ class Marketplace:
     def is_unique(self, table: str) -> bool:
         return table in self._unique
 
+    def sharing(self) -> Marketplace:
+        """Same marketplace, for a run of many reports: what several of them need is written
+        once, as a scratch table, and read by each."""
+        shared = Marketplace(lambda n: getattr(self, n), self._unique)
+        shared._shared = {}
+        return shared
+
+    @property
+    def is_sharing(self) -> bool:
+        return self._shared is not None
+
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` gives; in a sharing marketplace, stored on first use."""
+        if self._shared is None:
+            return build()
+        if name not in self._shared:
+            self._shared[name] = materialise(build())
+        return self._shared[name]
+
     def audited(self) -> Marketplace:
         """Same marketplace, with tables whose primary key holds marked as unique.
 

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from stallwise.marketplace import Marketplace
-from stallwise.plans import delivery, feedback_audit, orders_audit, products_audit, revenue, rfm
+from stallwise.plans import delivery, feedback_audit, orders_audit, products_audit, revenue, rfm, row_rules
 
 Report = Callable[..., DataFrame]
 
@@ -70,7 +70,12 @@ _REPORTS: tuple[Report, ...] = (
     delivery.monthly_on_time,
     delivery.freight_vs_speed,
     # Row rules and combined audits that the reports build on.
-    orders_audit.orders_rule_audit,
+    row_rules.orders_rule_audit,
+    row_rules.items_rule_audit,
+    row_rules.products_rule_audit,
+    row_rules.translation_rule_audit,
+    row_rules.reviews_rule_audit,
+    row_rules.payments_rule_audit,
     orders_audit.approvals_in_order,
     delivery.valid_delivery_rows,
     feedback_audit.latest_reviews,

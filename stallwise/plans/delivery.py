@@ -35,6 +35,15 @@ def valid_deliveries(orders: DataFrame, full_sequence: bool = False, ignore_case
     return rows.filter(arrival >= carrier) if full_sequence else rows
 
 
+def deliveries_of(m: Marketplace, full_sequence: bool = False, ignore_case: bool = False) -> DataFrame:
+    """Valid deliveries of the marketplace; those of the plain reading are shared in a run."""
+    if ignore_case:
+        return valid_deliveries(m.orders, full_sequence, ignore_case)
+    columns = ("order_id", "customer_id", PURCHASE, CARRIER, ARRIVAL, PROMISE)
+    rows = m.shared("valid deliveries", lambda: valid_deliveries(m.orders).select(*columns))
+    return rows.filter(F.col(ARRIVAL) >= F.col(CARRIER)) if full_sequence else rows
+
+
 def lead_times(deliveries: DataFrame, *columns: str | Column) -> DataFrame:
     """Order key, given columns, and the day measures of each delivery."""
     return deliveries.select(
@@ -65,7 +74,7 @@ def delivery_kpis(
 
 
 def delivery_overall(m: Marketplace, full_sequence: bool = False, ignore_case: bool = False) -> DataFrame:
-    deliveries = lead_times(valid_deliveries(m.orders, full_sequence, ignore_case))
+    deliveries = lead_times(deliveries_of(m, full_sequence, ignore_case))
     kpis = delivery_kpis(deliveries, unique=m.is_unique("orders"))
     return kpis.select(
         F.col("total_orders").alias("total_delivered_orders"),
@@ -79,7 +88,7 @@ def delivery_overall(m: Marketplace, full_sequence: bool = False, ignore_case: b
 def delivery_by_state(m: Marketplace, full_sequence: bool = False) -> DataFrame:
     """Delivery figures per customer state, ranked by the unrounded mean."""
     customers = fold(m.customers, "customer_id", ["customer_state"], unique=m.is_unique("customers"))
-    deliveries = lead_times(valid_deliveries(m.orders, full_sequence), "customer_id").join(customers, "customer_id")
+    deliveries = lead_times(deliveries_of(m, full_sequence), "customer_id").join(customers, "customer_id")
     unique = m.is_unique("orders") and m.is_unique("customers")
     kpis = delivery_kpis(deliveries, ["customer_state"], "copies", unique)
     return (
@@ -99,7 +108,7 @@ def delivery_by_state(m: Marketplace, full_sequence: bool = False) -> DataFrame:
 
 def monthly_on_time(m: Marketplace, full_sequence: bool = False) -> DataFrame:
     deliveries = lead_times(
-        valid_deliveries(m.orders, full_sequence),
+        deliveries_of(m, full_sequence),
         calendar.year(PURCHASE).alias("order_year"),
         calendar.month(PURCHASE).alias("order_month"),
     )
@@ -126,7 +135,7 @@ def punctuality_vs_review(
     """
     band = lateness_band("on_time", "delay_days", same_day_is_first_band)
     orders = fold(
-        lead_times(valid_deliveries(m.orders, full_sequence)).withColumn("delivery_status", band),
+        lead_times(deliveries_of(m, full_sequence)).withColumn("delivery_status", band),
         "order_id",
         ["delivery_status"],
         unique=m.is_unique("orders"),
@@ -167,7 +176,7 @@ def freight_vs_speed(
     ``weighed_only`` keeps items whose product has a positive weight.
     """
     orders = fold(
-        lead_times(valid_deliveries(m.orders, full_sequence)),
+        lead_times(deliveries_of(m, full_sequence)),
         "order_id",
         measures={"days": F.col("actual_days"), "on_time": F.col("on_time")},
         unique=m.is_unique("orders"),
@@ -209,4 +218,4 @@ def freight_vs_speed(
 
 def valid_delivery_rows(m: Marketplace) -> DataFrame:
     """Day measures of every order fit for lead-time analysis, sequence checked in full."""
-    return lead_times(valid_deliveries(m.orders, full_sequence=True), PURCHASE, ARRIVAL)
+    return lead_times(deliveries_of(m, full_sequence=True), PURCHASE, ARRIVAL)

@@ -10,15 +10,15 @@ from stallwise.functions.measures import cents, count_rows, count_where, money
 from stallwise.marketplace import Marketplace
 from stallwise.operators import audit, keys
 from stallwise.operators.grouping import latest_per_group
+from stallwise.plans.row_rules import rule_count, score_out_of_range
 
-# Result names of the NULL counts, and the review score range.
+# Result names of the NULL counts.
 PAYMENT_NULLS = {
     "null_order_id": "order_id",
     "null_payment_type": "payment_type",
     "null_payment_value": "payment_value",
     "null_installments": "payment_installments",
 }
-LOWEST_SCORE, HIGHEST_SCORE = 1, 5
 TOP_COLLISIONS = 10
 
 
@@ -29,7 +29,7 @@ def review_score_validation(m: Marketplace, all_rows: bool = False) -> DataFrame
     is 0, or NULL when there are no such rows. ``all_rows`` counts over the table.
     """
     score = F.col("review_score")
-    outside = (score < LOWEST_SCORE) | (score > HIGHEST_SCORE)
+    outside = score_out_of_range()
     nulls = count_where(score.isNull()).alias("null_review_scores")
     if all_rows:
         return m.order_reviews.agg(nulls, F.count(F.when(outside, 1)).alias("out_of_range_scores"))
@@ -50,6 +50,8 @@ def review_null_comments(m: Marketplace) -> DataFrame:
 
 
 def review_empty_comments(m: Marketplace, any_whitespace: bool = False) -> DataFrame:
+    if not any_whitespace:
+        return rule_count(m, "order_reviews", "empty_comment_strings")
     blank = text.is_blank("review_comment_message", any_whitespace)
     return audit.violation_count(m.order_reviews, blank, "empty_comment_strings")
 
@@ -59,7 +61,7 @@ def payments_null_audit(m: Marketplace) -> DataFrame:
 
 
 def payments_invalid_value(m: Marketplace) -> DataFrame:
-    return audit.violation_count(m.order_payments, F.col("payment_value") <= 0, "invalid_payment_values")
+    return rule_count(m, "order_payments", "invalid_payment_values")
 
 
 def payments_zero_rows(m: Marketplace) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.functions import text
 from stallwise.marketplace import Marketplace
 from stallwise.operators import audit, keys
+from stallwise.plans.row_rules import delivered_undated, incomplete_but_dated, rule_count
 
 # Result names of the NULL counts.
 ORDER_NULLS = {
@@ -28,37 +28,6 @@ ITEM_NULLS = {
     "null_freight": "freight_value",
 }
 
-# Order statuses.
-DELIVERED = "delivered"
-NEVER_COMPLETED = ("cancelled", "unavailable")
-
-
-def broken_date_sequence() -> Column:
-    """Handed over before purchase or delivered before handover, all dates known."""
-    purchase, carrier, customer = (
-        F.col("order_purchase_timestamp"),
-        F.col("order_delivered_carrier_date"),
-        F.col("order_delivered_customer_date"),
-    )
-    known = purchase.isNotNull() & carrier.isNotNull() & customer.isNotNull()
-    return known & ((carrier < purchase) | (customer < carrier))
-
-
-def approved_too_early() -> Column:
-    return F.col("order_approved_at") < F.col("order_purchase_timestamp")
-
-
-def estimated_too_early() -> Column:
-    return F.col("order_estimated_delivery_date") < F.col("order_purchase_timestamp")
-
-
-def delivered_undated(ignore_case: bool = False) -> Column:
-    return text.equals("order_status", DELIVERED, ignore_case) & F.col("order_delivered_customer_date").isNull()
-
-
-def incomplete_but_dated() -> Column:
-    return F.col("order_status").isin(*NEVER_COMPLETED) & F.col("order_delivered_customer_date").isNotNull()
-
 
 def orders_null_audit(m: Marketplace) -> DataFrame:
     return audit.null_audit(m.orders, ORDER_NULLS)
@@ -69,7 +38,7 @@ def orders_duplicate_key(m: Marketplace) -> DataFrame:
 
 
 def orders_date_sequence_violations(m: Marketplace) -> DataFrame:
-    return audit.violation_count(m.orders, broken_date_sequence(), "total_invalid_dates")
+    return rule_count(m, "orders", "total_invalid_dates")
 
 
 def ghost_orders(m: Marketplace) -> DataFrame:
@@ -77,11 +46,11 @@ def ghost_orders(m: Marketplace) -> DataFrame:
 
 
 def approval_before_purchase(m: Marketplace) -> DataFrame:
-    return audit.violation_count(m.orders, approved_too_early(), "err_approval_before_purchase")
+    return rule_count(m, "orders", "err_approval_before_purchase")
 
 
 def estimate_before_purchase(m: Marketplace) -> DataFrame:
-    return audit.violation_count(m.orders, estimated_too_early(), "err_past_estimated_delivery")
+    return rule_count(m, "orders", "err_past_estimated_delivery")
 
 
 def order_status_distribution(m: Marketplace) -> DataFrame:
@@ -89,31 +58,19 @@ def order_status_distribution(m: Marketplace) -> DataFrame:
 
 
 def delivered_missing_date(m: Marketplace, ignore_case: bool = False) -> DataFrame:
+    if not ignore_case:
+        return rule_count(m, "orders", "delivered_but_no_date")
     return audit.violation_count(m.orders, delivered_undated(ignore_case), "delivered_but_no_date")
 
 
 def cancelled_with_delivery_date(m: Marketplace) -> DataFrame:
-    return audit.violation_count(m.orders, incomplete_but_dated(), "cancelled_but_delivered")
+    return rule_count(m, "orders", "cancelled_but_delivered")
 
 
 def cancelled_with_delivery_by_status(m: Marketplace) -> DataFrame:
     return audit.distribution(m.orders, "order_status", incomplete_but_dated())
 
 
-def orders_rule_audit(m: Marketplace) -> DataFrame:
-    """All row rules on orders in one scan."""
-    return audit.rule_audit(
-        m.orders,
-        {
-            "total_invalid_dates": broken_date_sequence(),
-            "err_approval_before_purchase": approved_too_early(),
-            "err_past_estimated_delivery": estimated_too_early(),
-            "delivered_but_no_date": delivered_undated(),
-            "cancelled_but_delivered": incomplete_but_dated(),
-        },
-    )
-
-
 def approvals_in_order(m: Marketplace) -> DataFrame:
     """Orders fit for approval lead times: approved, and not before purchase."""
     return audit.violating_rows(m.orders, F.col("order_approved_at") >= F.col("order_purchase_timestamp"))
@@ -124,7 +81,7 @@ def items_null_audit(m: Marketplace) -> DataFrame:
 
 
 def items_invalid_price(m: Marketplace) -> DataFrame:
-    return audit.violation_count(m.order_items, F.col("price") <= 0, "total_invalid_prices")
+    return rule_count(m, "order_items", "total_invalid_prices")
 
 
 def items_orphan_order(m: Marketplace) -> DataFrame:

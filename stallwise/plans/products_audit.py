@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from stallwise.functions import text
 from stallwise.functions.measures import count_where
 from stallwise.marketplace import Marketplace
 from stallwise.operators import audit, keys
+from stallwise.plans.row_rules import rule_count, unusable
 
 # Result names of the NULL counts.
 PRODUCT_NULLS = {
@@ -29,20 +28,13 @@ DIMENSION_NULLS = {
     "null_width": "product_width_cm",
 }
 
-# Result names and upper limits of the dimensions.
+# Result names of the dimensions.
 INVALID_DIMENSIONS = {
     "invalid_weight": "product_weight_g",
     "invalid_length": "product_length_cm",
     "invalid_height": "product_height_cm",
     "invalid_width": "product_width_cm",
 }
-DIMENSION_LIMITS = {
-    "product_weight_g": 100000,
-    "product_length_cm": 200,
-    "product_height_cm": 200,
-    "product_width_cm": 200,
-}
-
 # Translations to add to the reference table.
 NEW_TRANSLATIONS = (
     ("pc_gamer", "PC Gamer"),
@@ -59,6 +51,8 @@ def products_null_dimensions(m: Marketplace) -> DataFrame:
 
 
 def products_empty_category(m: Marketplace, any_whitespace: bool = False) -> DataFrame:
+    if not any_whitespace:
+        return rule_count(m, "products", "empty_category_strings")
     blank = text.is_blank("product_category_name", any_whitespace)
     return audit.violation_count(m.products, blank, "empty_category_strings")
 
@@ -100,8 +94,7 @@ def unsold_products(m: Marketplace) -> DataFrame:
 
 
 def products_extreme_dimensions(m: Marketplace) -> DataFrame:
-    extreme = reduce(or_, [F.col(c) > limit for c, limit in DIMENSION_LIMITS.items()])
-    return audit.violation_count(m.products, extreme, "suspicious_dimensions")
+    return rule_count(m, "products", "suspicious_dimensions")
 
 
 def translation_empty_english(m: Marketplace, any_whitespace: bool = False) -> DataFrame:
@@ -113,5 +106,6 @@ def translation_empty_source(m: Marketplace, any_whitespace: bool = False) -> Da
 
 
 def _unusable(m: Marketplace, column: str, any_whitespace: bool, name: str) -> DataFrame:
-    unusable = text.is_blank(column, any_whitespace) | F.col(column).isNull()
-    return audit.violation_count(m.category_translation, unusable, name)
+    if not any_whitespace:
+        return rule_count(m, "category_translation", name)
+    return audit.violation_count(m.category_translation, unusable(column, any_whitespace), name)

@@ -15,7 +15,7 @@ from stallwise.functions import calendar, text
 from stallwise.functions.measures import cents, count_rows, flag, mean_money, money
 from stallwise.marketplace import Marketplace
 from stallwise.operators.grouping import fill_months, fold, period_growth, with_share_of_total
-from stallwise.plans.orders_audit import DELIVERED
+from stallwise.plans.row_rules import DELIVERED
 
 # Payment types with a role of their own, and the default label.
 UNDEFINED_PAYMENT = "not_defined"
@@ -40,6 +40,11 @@ def fold_payments(payments: DataFrame, *attributes: str) -> DataFrame:
     return fold(payments, "order_id", attributes, measures)
 
 
+def payments_by_order(m: Marketplace) -> DataFrame:
+    """Payments of a known type, folded by order; many reports join on it."""
+    return m.shared("payments by order", lambda: fold_payments(defined_payments(m.order_payments)))
+
+
 def delivered_by(m: Marketplace, attributes: Mapping[str, Column], ignore_case: bool = False) -> DataFrame:
     """Delivered orders folded by order key and attributes derived from the order."""
     orders = delivered(m.orders, ignore_case).select("order_id", *[c.alias(n) for n, c in attributes.items()])
@@ -80,7 +85,7 @@ def _own(df: DataFrame, attributes: Sequence[str]) -> list[str]:
 
 def monthly_amounts(m: Marketplace, ignore_case: bool = False) -> DataFrame:
     months = {"order_year": calendar.year(PURCHASE), "order_month": calendar.month(PURCHASE)}
-    payments = fold_payments(defined_payments(m.order_payments))
+    payments = payments_by_order(m)
     return join_payments(delivered_by(m, months, ignore_case), payments, list(months))
 
 
@@ -207,7 +212,7 @@ def state_revenue(m: Marketplace, per_order: bool = False) -> DataFrame:
         .groupBy("order_id", "customer_state")
         .agg(F.sum("copies").alias("copies"))
     )
-    payments = fold_payments(defined_payments(m.order_payments))
+    payments = payments_by_order(m)
     grouped = join_payments(orders, payments, ["customer_state"])
     return (
         with_share_of_total(grouped, "amount", "revenue_share_pct")
@@ -223,7 +228,7 @@ def state_revenue(m: Marketplace, per_order: bool = False) -> DataFrame:
 
 
 def day_of_week_profile(m: Marketplace) -> DataFrame:
-    payments = fold_payments(defined_payments(m.order_payments))
+    payments = payments_by_order(m)
     grouped = join_payments(
         delivered_by(m, {"day_number": calendar.day_number(PURCHASE)}), payments, ["day_number"]
     )
@@ -236,7 +241,7 @@ def day_of_week_profile(m: Marketplace) -> DataFrame:
 
 
 def hour_of_day_profile(m: Marketplace) -> DataFrame:
-    payments = fold_payments(defined_payments(m.order_payments))
+    payments = payments_by_order(m)
     grouped = join_payments(delivered_by(m, {"hour_of_day": calendar.hour(PURCHASE)}), payments, ["hour_of_day"])
     return grouped.select("hour_of_day", "total_orders", money("amount").alias("total_revenue")).orderBy(
         "hour_of_day"

@@ -11,7 +11,7 @@ from stallwise.functions.measures import count_rows, mean, mean_money, money
 from stallwise.marketplace import Marketplace
 from stallwise.operators.grouping import with_share_of_total
 from stallwise.operators.tiles import SortKey, with_tiles
-from stallwise.plans.revenue import PURCHASE, defined_payments, delivered, delivered_with_customer, fold_payments
+from stallwise.plans.revenue import PURCHASE, delivered, delivered_with_customer, payments_by_order
 from stallwise.session import materialise
 
 TILES = 5
@@ -50,7 +50,7 @@ def paid_orders(m: Marketplace) -> DataFrame:
         .groupBy("order_id", PERSON)
         .agg(F.max(PURCHASE).alias("last_order_date"), F.sum("copies").alias("copies"))
     )
-    payments = fold_payments(defined_payments(m.order_payments)).drop("copies", "payments")
+    payments = payments_by_order(m).drop("copies", "payments")
     if m.is_unique("orders"):
         return orders.join(payments, "order_id")
     heavy = F.broadcast(heavy_orders(m))
@@ -84,8 +84,20 @@ def person_metrics(m: Marketplace) -> DataFrame:
     )
 
 
+def _metrics(m: Marketplace) -> DataFrame:
+    return m.shared("person metrics", lambda: person_metrics(m))
+
+
 def scored(m: Marketplace) -> DataFrame:
-    return with_tiles(materialise(person_metrics(m).drop("last_order_date")), TILES, SCORES)
+    """Persons with their scores.
+
+    The metrics are written and the boundaries searched while this DataFrame is built.
+    """
+    def build() -> DataFrame:
+        metrics = _metrics(m).drop("last_order_date")
+        return with_tiles(metrics if m.is_sharing else materialise(metrics), TILES, SCORES)
+
+    return m.shared("scored persons", build)
 
 
 def segmented(m: Marketplace) -> DataFrame:
@@ -94,7 +106,7 @@ def segmented(m: Marketplace) -> DataFrame:
 
 
 def rfm_base(m: Marketplace) -> DataFrame:
-    return person_metrics(m).withColumn("monetary", money("monetary"))
+    return _metrics(m).withColumn("monetary", money("monetary"))
 
 
 def rfm_scores(m: Marketplace) -> DataFrame:

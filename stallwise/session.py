@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,25 +33,60 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by the executors, as named in ``spark.checkpoint.dir``.
 
-    A local session without the setting (tests) gets a fresh folder of its own.
+    A local session without the setting (tests) gets a fresh folder of its own. On a
+    cluster a folder on the machines' own disks is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if folder:
+        if not local and _scheme(spark, folder) == "file":
+            raise ValueError(f"spark.checkpoint.dir is {folder}, which executors do not share")
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="stallwise-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _scheme(spark: SparkSession, path: str) -> str:
+    """Scheme of the file system that a path is on, its own or the default one."""
+    return _file_system(spark, path).getUri().getScheme()
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables written inside the block when it ends.
+
+    DataFrames that read them must have been written or collected by then.
+    """
+    written: list[str] = []
+    _scopes.append(written)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in written:
+            _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a scratch table and return a DataFrame that reads it.
 
     The table is columnar and lives in the shared folder, so several narrow
     passes over it cost a column scan each and a lost executor costs nothing.
+    Inside :func:`scratch` it is removed at the end of the block.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/stallwise-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -60,7 +60,7 @@ def test_status_consistency(spark):
     assert only(run_report("cancelled_with_delivery_date", m)) == (2,)
     assert sorted(rows(run_report("cancelled_with_delivery_by_status", m))) == [("cancelled", 1), ("unavailable", 1)]
     assert rows(run_report("order_status_distribution", m))[0] == ("cancelled", 3)
-    single = orders_audit.orders_rule_audit(m).first().asDict()
+    single = run_report("orders_rule_audit", m).first().asDict()
     for name in ("delivered_missing_date", "cancelled_with_delivery_date", "orders_date_sequence_violations"):
         assert run_report(name, m).first().asDict().items() <= single.items()
 
