@@ -19,10 +19,13 @@ How the work is spread:
 * In a bucket, members are first compared with its leader only (the member that shares most
   buckets), so a bucket of n texts gives n - 1 pairs. Texts verified to be similar are joined into
   components.
-* Pairs of one bucket still in different components are then looked at in full: the bucket is
-  split in blocks, each pair of blocks is a task's work, and pairs whose signatures agree in at
-  least ``ESTIMATE_FLOOR`` of the slots (five standard deviations below the threshold) are verified.
-  So no link between different components is lost, and pairs inside a component are not formed.
+* Pairs of one bucket still in different components are then compared where they are: the bucket
+  is split in blocks of at most ``BLOCK_MEMBERS`` texts and ``BLOCK_SHINGLES`` runs, and each pair of
+  blocks is one group. Inside it, texts of different components whose signatures agree in at least
+  ``ESTIMATE_FLOOR`` of the slots (five standard deviations below the threshold) are counted exactly,
+  in the first band that they share. Only links that join two components leave the group, so no
+  link between different components is lost, and neither pairs of one component nor pairs that
+  fall short become rows.
 
 Defined results: NULL and empty texts, and texts without words, are each a class of their own;
 repeated rows and equal texts are one class; ties go to the smaller id, NULL ids first; an empty
@@ -49,7 +52,8 @@ SLOTS = 96
 ROWS = 4
 BANDS = SLOTS // ROWS
 ESTIMATE_FLOOR = 0.6
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS = 1024
+BLOCK_SHINGLES = 2_000_000
 
 _BYTES = 4  # of a slot in a stored signature
 
@@ -143,10 +147,10 @@ def _signed(rows: DataFrame) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(key, node): one row per band; the key tells bands apart."""
+    """(band, key, node): one row per band; the key tells bands apart."""
     size = ROWS * _BYTES
     keys = F.array(*[F.xxhash64(F.lit(band), F.substring("signature", band * size + 1, size)) for band in range(BANDS)])
-    return nodes.select("node", F.explode(keys).alias("key"))
+    return nodes.select("node", F.posexplode(keys).alias("band", "key"))
 
 
 def _similar_sizes(similarity: float) -> Column:
@@ -172,52 +176,91 @@ def _compare_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(similarity)})
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of some nodes."""
+    wanted = wanted.join(nodes, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.body").alias("first_body"))
+    same = rows["id"].eqNullSafe(F.col("first_id")) & (rows["body"] == F.col("first_body"))
+    # one row per node, also where a row is repeated
+    return rows.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar enough, counted exactly."""
     sizes = nodes.select("node", "n")
     pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(_similar_sizes(similarity))
     pairs = materialise(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = wanted.join(nodes, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.body").alias("first_body"))
-    same = rows["id"].eqNullSafe(F.col("first_id")) & (rows["body"] == F.col("first_body"))
-    # one row per node, also where a row is repeated
-    texts = materialise(rows.join(wanted, same).select("node", "text").dropDuplicates(["node"]))
+    texts = materialise(_texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, rows))
     sides = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     compared = map_batches(sides.select("a", "b", "text_a", "text_b"), _compare_batch, "a bigint, b bigint, similarity double")
     return compared.filter(F.col("similarity") >= similarity - 1e-12).select("a", "b")
 
 
-def _block_pairs(members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks in different components whose signatures agree well enough."""
-    slots = np.frombuffer(b"".join(members["signature"]), np.uint32).reshape(len(members), -1)
-    root, node, block = (members[c].to_numpy() for c in ("root", "node", "block"))
-    first = np.flatnonzero(block == members["low"].iloc[0])
-    second = np.flatnonzero(block == members["high"].iloc[0])
+def _elements(texts: pd.Series) -> list[np.ndarray]:
+    """Each text's bag as a sorted set: a run's second time is an element of its own, and so on."""
     out: list[np.ndarray] = []
+    for chunk in text_chunks(pa.array(texts, pa.large_string())):
+        text, shingle, times = shingle_bags(find_words(chunk, ALNUM_LOWER))
+        again = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        element = mix(np.repeat(shingle, times) + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        text = np.repeat(text, times)
+        element = element[np.lexsort((element, text))]
+        out.extend(np.split(element, np.cumsum(np.bincount(text, minlength=len(chunk)))[:-1]))
+    return out
+
+
+def _block_links(members: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links between components among the texts of two blocks; one that joins two is enough."""
+    low, high, band = (members[c].iloc[0] for c in ("low", "high", "band"))
+    members = members.sort_values("node", kind="stable")
+    slots = np.frombuffer(b"".join(members["signature"]), np.uint32).reshape(len(members), -1)
+    node, block = members["node"].to_numpy(), members["block"].to_numpy()
+    root = members["root"].to_numpy().copy()
+    first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    elements: list[np.ndarray] | None = None
+    out: list[tuple[int, int]] = []
     for i in first:
-        others = second[(root[second] != root[i]) & ((node[second] > node[i]) | (members["low"].iloc[0] != members["high"].iloc[0]))]
-        agree = (slots[others] == slots[i]).mean(axis=1)
-        close = others[agree >= ESTIMATE_FLOOR]
-        out.append(np.stack([np.maximum(node[close], node[i]), np.minimum(node[close], node[i])], axis=1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(found, columns=["a", "b"])
-
-
-def _left_over(members: DataFrame, roots: DataFrame, nodes: DataFrame, compared: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components and have not been compared."""
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    # the one pair of a bucket of two has been compared
-    mixed = mixed.filter((F.col("low") != F.col("high")) & (F.col("size") > 2)).select("key", "size")
-    rows = placed.drop("size").join(mixed, "key").join(nodes.select("node", "signature"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = other.select(
-        "key", "node", "root", "signature", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        others = second[(root[second] != root[i]) & ((second > i) | (low != high))]
+        same = slots[others] == slots[i]
+        close = same.mean(axis=1) >= ESTIMATE_FLOOR
+        # a pair is compared in the first band that it shares
+        shared = same[close].reshape(-1, BANDS, ROWS).all(axis=2)
+        close = others[close][shared.argmax(axis=1) == band]
+        if not len(close):
+            continue
+        if elements is None:
+            elements = _elements(members["text"])
+        own, sizes = elements[i], np.array([len(elements[j]) for j in close])
+        theirs = np.concatenate([elements[j] for j in close])
+        found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        common = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+        alike = common / (sizes + len(own) - common) >= similarity - 1e-12
+        for j in close[alike]:
+            if root[j] != root[i]:
+                out.append((max(node[i], node[j]), min(node[i], node[j])))
+                root[root == root[j]] = root[i]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _left_over(members: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts of one bucket that are still in different components."""
+    sized = members.join(nodes.select("node", "n"), "node")
+    placed = sized.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"), F.sum("n").alias("shingles")
     )
-    pairs = tasks.groupBy("key", "low", "high").applyInPandas(_block_pairs, "a bigint, b bigint").distinct()
-    return pairs.join(compared, ["a", "b"], "left_anti")
+    # the one pair of a bucket of two has been compared
+    mixed = mixed.filter((F.col("least") != F.col("most")) & (F.col("size") > 2))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = materialise(placed.select("key", "band", "node", "root").join(mixed.select("key", blocks.alias("blocks")), "key"))
+    texts = _texts(placed.select("node").distinct(), nodes, rows)
+    own = placed.join(nodes.select("node", "signature"), "node").join(texts, "node")
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = other.select(
+        "key", "band", "node", "root", "signature", "text", "block",
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+    )
+    return groups.groupBy("key", "low", "high").applyInPandas(lambda group: _block_links(group, similarity), "a bigint, b bigint").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -240,8 +283,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     first = materialise(first.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
     links = materialise(_verified(first, nodes, rows, similarity))
     roots = materialise(components(links))
-    second = materialise(_left_over(members, roots, nodes, first))
-    more = materialise(_verified(second, nodes, rows, similarity))
+    more = materialise(_left_over(members, roots, nodes, rows, similarity))
     if not more.isEmpty():
         roots = materialise(components(links.unionByName(more)))
     placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "copies")
