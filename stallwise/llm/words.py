@@ -23,8 +23,8 @@ _inverse_powers = np.ones(1, np.uint64)
 
 
 def _fold_table(separators: bytes, lower: bool) -> np.ndarray:
-    """Byte by byte: 0 for separators, else the byte, with A-Z lower-cased on request."""
-    table = np.arange(256, dtype=np.uint8)
+    """Byte by byte: 0 for separators, else the byte plus 1, with A-Z lower-cased on request."""
+    table = np.arange(1, 257, dtype=np.uint16)
     if lower:
         table[0x41:0x5B] += 0x20
     table[list(separators)] = 0
