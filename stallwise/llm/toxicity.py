@@ -189,18 +189,32 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame) -> dict[str, float]:
 
 
 def _calibrate(model: Toxicity, features: np.ndarray, label: np.ndarray) -> None:
-    """Ridge logistic regression on the standardised features, by Newton steps."""
+    """Ridge logistic regression on the standardised features, by Newton steps.
+
+    More of a feature never lowers the score: a feature that would get a negative slope is left out.
+    """
     if len(np.unique(label)) < 2:
         return
     model.means, model.spreads = features.mean(axis=0), features.std(axis=0) + 1e-9
-    x = np.column_stack([(features - model.means) / model.spreads, np.ones(len(label))])
+    x = (features - model.means) / model.spreads
+    used = list(range(x.shape[1]))
+    while True:
+        slopes = _logistic(np.column_stack([x[:, used], np.ones(len(label))]), label)
+        if not used or slopes[:-1].min() >= 0:
+            break
+        del used[int(slopes[:-1].argmin())]
+    model.slopes = np.zeros(x.shape[1] + 1)
+    model.slopes[[*used, -1]] = slopes
+
+
+def _logistic(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     slopes = np.zeros(x.shape[1])
     ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-9]) * len(label) * 0.01
     for _ in range(100):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ slopes, -40, 40)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - label) + ridge @ slopes)
         slopes = slopes - np.clip(step, -2, 2)
-    model.slopes = slopes
+    return slopes
 
 
 def fit_toxicity(
