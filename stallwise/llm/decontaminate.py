@@ -13,8 +13,8 @@ A document is scanned in three steps that lose no occurrence:
    for word, with the benchmark windows of its length.
 3. Places found become hit words, and these the verdict; spans or documents can then be removed.
 
-The set is broadcast only when its counted size is within ``BROADCAST_ROWS``; a larger benchmark is
-joined by a shuffle on the run's hash. Documents are aggregated before any exchange.
+Runs and windows are broadcast only when both are counted to be within ``BROADCAST_ROWS``; a larger
+benchmark is joined by a shuffle. Documents are aggregated before any exchange.
 
 Defined results: NULL and empty texts have no words and are clean; benchmark rows with a NULL id or no
 words are ignored; repeated benchmark rows count once; an empty benchmark contaminates nothing; document rows
@@ -32,7 +32,7 @@ from stallwise.llm.tables import materialise, read, unpacked, whole_row
 WINDOW_WORDS = 13
 #: A document is contaminated when at least one word in so many is hit.
 CONTAMINATED_ONE_IN = 20
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 
 _BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,7 +87,7 @@ def find_contamination(
     runs = windows.select(F.split("window", " ").alias("words"), "n").select(
         F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - block + 1), lambda i: _run_hash(F.col("words"), i, block))).alias("run")
     ).distinct().withColumn("known", F.lit(True))
-    few = runs.count() <= BROADCAST_ROWS
+    few = max(runs.count(), windows.count()) <= BROADCAST_ROWS
 
     tokens = keyed.select("doc_id", "body", words_of(F.col("text")).alias("words"))
     last = (F.size("words") / block).cast("int")
