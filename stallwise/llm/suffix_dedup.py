@@ -86,7 +86,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _anchor_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Anchors of a batch; all but the first with one neighbourhood are ``settled``: repeated in full."""
+    """Anchors of a batch; all but the first with one neighbourhood are ``settled``: repeated in full.
+
+    A settled one has some other number in place of its anchor's.
+    """
     names = [name for name in batch.schema.names if name != "text"]
     found: list[list[np.ndarray]] = [[], [], [], []]
     for chunk in text_chunks(batch.column("text")):
@@ -103,6 +106,9 @@ def _anchor_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     again[1:] = settled[1:] & (place[1:] == place[:-1])
     for key in keys:
         again[1:] &= key[1:] == key[:-1]
+    # settled ones need no neighbours: they take the same exchange, dealt out evenly
+    spread = mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[0].view(np.uint64)).view(np.int64)
+    anchor = np.where(settled, spread, anchor)
     once = ~again  # a repeated row of the table is one text
     columns = {name: key[once] for name, key in zip(names, keys)}
     columns |= {"place": place[once].astype(np.int32), "anchor": anchor[once], "around": around[once], "settled": settled[once]}
@@ -236,9 +242,7 @@ def find_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
     ``spans`` (low, high) of other repeated windows."""
     plain = ", ".join(f"{name} bigint" for name in keys)
     found = map_batches(rows, _anchor_batch, f"{plain}, place int, anchor bigint, around bigint, settled boolean")
-    # settled ones need no neighbours: they take the same exchange, dealt out evenly
-    found = found.withColumn("dealt", F.when(F.col("settled"), F.xxhash64(*keys, "place")).otherwise(F.col("anchor")))
-    group = Window.partitionBy("dealt", "settled").orderBy("around", *keys, "place")
+    group = Window.partitionBy("anchor", "settled").orderBy("around", *keys, "place")
     everything = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     earlier = [F.lag(name).over(group).alias(f"last_{name}") for name in ("around", *keys, "place")]
     seen = found.select(
