@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from conftest import TESTDATA
-from corpus import classes, repeated_bytes, words
+from corpus import EDGES, classes, documents, repeated_bytes, rng, sentence, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -75,6 +75,23 @@ def test_run(spark, stages):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in found) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in stages[5])
 
 
+def test_nulls_repeats_and_clashing_names(spark):
+    draw = rng(11)
+    good = [sentence(draw, 60) for _ in range(6)]
+    rows = [(900000 + i, t) for i, t in enumerate(good)] + [(900000, good[0]), (None, good[1] + " more"), (None, sentence(draw, 40)), *EDGES]
+    rows.append((900099, good[2] + " " + sentence(draw, 3000)))
+    docs = documents(spark, rows, id=1, body="b", row=None, kept=False, length=2, text_2="t")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialise(stage(spark, docs, FOLDER))
+        assert name == "packing" or docs.columns == before.columns
+    found = docs.collect()
+    assert check_pack(found, 2048) == len({r["sequence_id"] for r in found})
+    ids = [r["doc_id"] for r in found if r["piece"] == 0]
+    # the near copy with the NULL id comes first, so it is the one of its class that stays
+    assert sorted(i for i in ids if i is not None) == [900000, 900002, 900003, 900004, 900005, 900099]
+    assert ids.count(None) == 2
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
