@@ -156,27 +156,45 @@ def _fit(table: pa.Table) -> Model:
     held = np.arange(len(label)) % CALIBRATION_SHARE == 0
     if any(len(np.unique(label[part])) < 2 for part in (held, ~held)):
         return flat
-    numbers, amounts = table["numbers"].combine_chunks(), table["amounts"].combine_chunks()
-    sizes = np.diff(numbers.offsets.to_numpy())
-    row = np.repeat(np.arange(len(label)), sizes)
-    index, value = numbers.flatten().to_numpy(), amounts.flatten().to_numpy().astype(np.float64)
-    weights, bias = _logistic(index, value, row, label, ~held)
-    margin = np.bincount(row, weights=weights[index] * value, minlength=len(label)) + bias
+    sample = _Sample(table)
+    weights, bias = _logistic(sample, label, ~held)
+    margin = sample.margins(weights) + bias
     slope, shift = _calibrate(margin[held], label[held])
     return Model(weights.reshape(_FAMILIES, BUCKETS).astype(np.float32), float(bias), slope, shift)
 
 
-def _logistic(index, value, row, label, used, rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Adam over the whole sample, classes weighted alike."""
-    keep = used[row]
-    index, value, row = index[keep], value[keep], row[keep]
+class _Sample:
+    """Sparse rows of the training table, read in blocks so that sums over them need little memory."""
+
+    def __init__(self, table: pa.Table):
+        self._blocks = []
+        for batch in table.select(["numbers", "amounts"]).to_batches(max_chunksize=100):
+            numbers, amounts = batch.column(0), batch.column(1)
+            sizes = np.diff(numbers.offsets.to_numpy())
+            self._blocks.append((numbers.flatten().to_numpy(), amounts.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), len(sizes)))
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        """Weighted sum of each row's values."""
+        parts = [np.bincount(row, weights=weights[index] * value, minlength=rows) for index, value, row, rows in self._blocks]
+        return np.concatenate(parts)
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        """Sum over rows of their values times the row's error."""
+        total, begin = np.zeros(_FAMILIES * BUCKETS), 0
+        for index, value, row, rows in self._blocks:
+            total += np.bincount(index, weights=value * error[begin : begin + rows][row], minlength=len(total))
+            begin += rows
+        return total
+
+
+def _logistic(sample: _Sample, label: np.ndarray, used: np.ndarray, rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Adam over the used rows, classes weighted alike."""
     share = np.where(label == 1, 0.5 / label[used].mean(), 0.5 / (1 - label[used].mean())) * used / used.sum()
     weights, bias = np.zeros(_FAMILIES * BUCKETS), 0.0
     first, second = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     for step in range(1, rounds + 1):
-        margin = np.bincount(row, weights=weights[index] * value, minlength=len(label)) + bias
-        error = share * (_sigmoid(margin) - label)
-        slope = np.append(np.bincount(index, weights=value * error[row], minlength=len(weights)) + ridge * weights, error.sum())
+        error = share * (_sigmoid(sample.margins(weights) + bias) - label)
+        slope = np.append(sample.gradient(error) + ridge * weights, error.sum())
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
