@@ -5,17 +5,22 @@ texts are counted. The model is a backoff 3-gram model: unigrams are smoothed by
 ``SMOOTHING``; an n-gram's probability is its discounted share of its context, and a context passes
 the rest on to the next shorter one, so the probabilities of all next tokens sum to 1.
 
-The automaton has a state for each context with continuations, an arc for each kept n-gram, and a
+The automaton has a state for each of its contexts, an arc for each of its n-grams, and a
 failure arc with the backoff weight to the next shorter context. A text is scored in one
 traversal from left to right that carries the state and adds log-probabilities.
 
-What is kept in the automaton is bounded at any corpus size: a unigram is kept with at least
-``UNIGRAM_SHARE`` of all tokens, a longer n-gram with ``NGRAM_SHARE``, so there are at most
-1 / share of either. The rule is exact and finds all of them: an n-gram is at most as frequent
-as its parts, so candidates are built from kept parts only. The rarer tokens stay in a table; a
-text's rare tokens are joined with it, and their unigram terms added (rare tokens have no longer
-n-grams, so the traversal only takes the failure arcs there). No key of that join is hot, as each
-has less than ``UNIGRAM_SHARE`` of the tokens.
+All n-grams with at least ``MIN_COUNT`` occurrences are in the model, at any corpus size. Their counts, shares
+and backoff weights are stored tables. A text's score is a sum over its n-grams: with an n-gram's gain defined as
+
+* of a token: its unigram term, and its backoff weight as a context;
+* of a pair uv: log p(v|u) less what backing off gave, weight(u) and the unigram term of v; and weight(uv);
+* of a triple uvw: log p(w|uv) less weight(uv) and log p(w|v),
+
+all gains of the n-grams in a text add up to the score of the backoff model. So the automaton can hold the frequent
+n-grams only (a token with at least ``UNIGRAM_SHARE`` of all tokens, longer ones with ``ARC_SHARE``; at most
+1 / share of either), with the whole model's backoff weights, and the traversal adds up their gains; all
+others of a text are joined with the table of gains. No key of that join is hot, as each has less than
+``ARC_SHARE`` of the tokens.
 
 Tokens are known by 64-bit hashes. Defined results: a NULL or empty text is one end token; without
 training texts every unigram has probability 1; repeated rows are counted and scored each; NULL ids are scored;
@@ -35,13 +40,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.llm.tables import held_out, map_batches, materialise, read
-from stallwise.llm.words import SPACED_LOWER, Chunk, find_words, text_chunks
+from stallwise.llm.words import SPACED_LOWER, Chunk, find_words, mix, text_chunks
 
 SMOOTHING = 0.1
 DISCOUNT = 0.5
-UNIGRAM_SHARE = 1e-6
-NGRAM_SHARE = 2e-5
+MIN_COUNT = 2  # of a longer n-gram in the model, at every corpus size
+NGRAM_SHARE = 0.0  # least share of all tokens for a longer n-gram in the model: none
+UNIGRAM_SHARE = 1e-6  # of tokens and of longer n-grams in the broadcast automaton
+ARC_SHARE = 2e-5
 
+START = np.uint64(0)
 END = np.uint64(1)
 _START = 0  # number of the context before the first token
 _BITS = 20  # numbers of kept tokens fit: there are at most 1 / UNIGRAM_SHARE + 1
@@ -102,47 +110,51 @@ class Lexicon:
         return np.where(self.hashes[at] == hashes, at + 1, -1)
 
 
-def _with_start(lexicon: Lexicon, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers with the start context put before each text, and which of them begin a text."""
-    numbers = np.full(len(hashes) + len(bounds) - 1, _START, np.int64)
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of two neighbours: of tokens, a pair's; of pairs, a triple's."""
+    return mix(mix(a) * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def _pairs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring tokens of a text, its start included, and the pairs' texts."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    numbers[np.arange(len(hashes)) + text + 1] = lexicon.numbers(hashes)
-    return numbers, bounds[:-1] + np.arange(len(bounds) - 1)
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[bounds[:-1]] = START
+    return before, hashes, text
 
 
-@dataclass
-class _Bigrams:
-    """Pairs of tokens that are each frequent enough for a kept pair."""
+def _triples(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring pairs of a text, and the triples' texts."""
+    before, after, text = _pairs(hashes, bounds)
+    key = _joint(before, after)
+    inside = text[1:] == text[:-1]
+    return key[:-1][inside], key[1:][inside], text[1:][inside]
 
-    lexicon: Lexicon
-    allowed: np.ndarray  # by number; -1 finds the last entry, which is False
 
-    def __call__(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        numbers, begins = _with_start(self.lexicon, hashes, bounds)
-        fits = self.allowed[numbers]
-        pair = fits[:-1] & fits[1:]
-        pair[begins[1:] - 1] = False  # from one text to the next
-        return (numbers[:-1][pair] << _BITS) | numbers[1:][pair]
+def _count_grams_batch(batch: pa.RecordBatch, grams) -> Iterator[pa.RecordBatch]:
+    """Counts of the neighbours that ``grams`` finds, merged over the batch."""
+    left, right = [], []
+    for chunk in text_chunks(batch.column(0)):
+        a, b, _ = grams(*tokens_of(chunk))
+        left.append(a)
+        right.append(b)
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        _, place, count = np.unique(_joint(a, b), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"a": a[place].view(np.int64), "b": b[place].view(np.int64), "n": count.astype(np.int64)})
 
 
-@dataclass
-class _Trigrams:
-    """Triples whose two pairs are kept."""
+def _key_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    a, b = (batch.column(c).to_numpy().view(np.uint64) for c in "ab")
+    yield pa.RecordBatch.from_pydict({"key": _joint(a, b).view(np.int64), **{c: batch.column(c) for c in ("a", "b", "n")}})
 
-    lexicon: Lexicon
-    pairs: np.ndarray  # sorted keys
 
-    def __call__(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        numbers, begins = _with_start(self.lexicon, hashes, bounds)
-        key = (numbers[:-1] << _BITS) | numbers[1:]
-        key[(numbers[:-1] < 0) | (numbers[1:] < 0)] = -1
-        key[begins[1:] - 1] = -1
-        if not len(self.pairs):
-            return key[:0]
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        kept = np.where(self.pairs[at] == key, at, -1)
-        both = (kept[:-1] >= 0) & (kept[1:] >= 0)
-        return (kept[:-1][both] << _BITS) | numbers[2:][both]
+def _counted_grams(texts: DataFrame, grams, least: float) -> DataFrame:
+    """(key, a, b, n) of all neighbours with at least ``least`` occurrences."""
+    rows = map_batches(texts, partial(_count_grams_batch, grams=grams), "a bigint, b bigint, n bigint")
+    counts = rows.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(least))
+    return map_batches(counts, _key_batch, "key bigint, a bigint, b bigint, n bigint")
 
 
 @dataclass
@@ -162,12 +174,13 @@ class Automaton:
     fail: list[int] = field(default_factory=lambda: [0])
     weight: list[float] = field(default_factory=lambda: [0.0])
     begin: int = 0
+    longer: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted keys of its pairs and triples
 
     def unigram(self, count: float) -> float:
         return log10((count + SMOOTHING) / (self.total + SMOOTHING * (self.distinct + 1)))
 
     def traverse(self, numbers: list[int]) -> float:
-        """Log10 probability of the tokens, but for the unigram terms of rare ones (-1)."""
+        """Sum of the gains of the n-grams in the automaton; -1 is any other token."""
         arcs, fail, weight, single, after = self.arcs, self.fail, self.weight, self.single, self.after
         state, score = self.begin, 0.0
         for token in numbers:
@@ -202,90 +215,134 @@ class Automaton:
 
 
 def build_automaton(
-    lexicon: Lexicon, total: int, distinct: int, texts: int, pairs: dict[int, int], triples: dict[tuple[int, int], int]
+    lexicon: Lexicon, total: int, distinct: int, weights: dict[int, float], pairs: dict[int, tuple[float, float | None]], triples: dict[tuple[int, int], float]
 ) -> Automaton:
-    """From kept counts: pairs by key, triples by (key of the first pair, last token)."""
+    """From backoff weights of tokens by number, (log share, weight) of pairs by key, and log shares of
+    triples by (key of the first pair, last token); a context without continuations has no weight."""
     size = len(lexicon.hashes) + 1
     model = Automaton(lexicon, total, distinct, [0.0] * size, [0] * size)
-    counts = [texts, *lexicon.counts.tolist()]
-    model.single[1:] = [model.unigram(c) for c in counts[1:]]
+    model.single[1:] = [model.unigram(c) for c in lexicon.counts.tolist()]
     mask = (1 << _BITS) - 1
 
-    def add_state(shorter: int) -> int:
+    def add_state(shorter: int, weight: float) -> int:
         model.fail.append(shorter)
-        model.weight.append(0.0)
+        model.weight.append(weight)
         return len(model.fail) - 1
 
-    one = {u: add_state(0) for u in sorted({key >> _BITS for key in pairs})}
-    two = {key: add_state(one.get(key & mask, 0)) for key in sorted({key for key, _ in triples})}
+    one = {u: add_state(0, weight) for u, weight in sorted(weights.items())}
+    two = {key: add_state(one.get(key & mask, 0), weight) for key, (_, weight) in sorted(pairs.items()) if weight is not None}
     for token, state in one.items():
         if token != _START:
             model.after[token] = state
     model.begin = one.get(_START, 0)
-
-    def finish(state: int, seen: dict[int, tuple[int, int]], whole: int) -> None:
-        """Arcs of a context: token -> (count, next state); then its backoff weight."""
-        shorter = model.fail[state]
-        kept = lower = 0.0
-        for token, (count, after) in sorted(seen.items()):
-            share = (count - DISCOUNT) / whole
-            kept += share
-            lower += model.probability(shorter, token)
-            model.arcs[state << _BITS | token] = (log10(share), after)
-        model.weight[state] = log10(max(1.0 - kept, 1e-12) / max(1.0 - lower, 1e-12))
-
-    followers: dict[int, dict[int, tuple[int, int]]] = {}
-    for key, count in pairs.items():
-        u, v = key >> _BITS, key & mask
-        followers.setdefault(one[u], {})[v] = (count, two.get(key, one.get(v, 0)))
-    for u, state in one.items():
-        finish(state, followers[state], counts[u])
-    followers = {}
-    for (key, w), count in triples.items():
-        pair = (key & mask) << _BITS | w
-        followers.setdefault(two[key], {})[w] = (count, two.get(pair, one.get(w, 0)))
-    for key, state in two.items():
-        finish(state, followers[state], pairs[key])
+    for key, (share, _) in pairs.items():
+        model.arcs[one[key >> _BITS] << _BITS | key & mask] = (share, two.get(key, one.get(key & mask, 0)))
+    for (key, w), share in triples.items():
+        model.arcs[two[key] << _BITS | w] = (share, two.get((key & mask) << _BITS | w, one.get(w, 0)))
     return model
 
 
+def _weights(grams: DataFrame) -> DataFrame:
+    """Backoff weight of each context: what its n-grams leave, over what they leave of the shorter context."""
+    rest = lambda name: F.greatest(F.lit(1.0) - F.sum(name), F.lit(1e-12))
+    return materialise(grams.groupBy("a").agg(F.log10(rest("share") / rest("lower")).alias("weight")))
+
+
 def train(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton of a one-column DataFrame of texts, and the table of all unigram counts."""
+    """The automaton of a one-column DataFrame of texts, and the gains of all n-grams outside it
+    (``key, n, base, gain``; ``n`` and ``base`` of tokens only; tokens' terms are counted from that of an unseen one)."""
     counts = materialise(_counted(texts, _unigrams))
-    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("key") == int(END), F.col("n")))).first()
-    total, distinct, ends = totals[0] or 0, totals[1], totals[2] or 0
-    kept = counts.filter(F.col("n") >= F.lit(total * UNIGRAM_SHARE)).toArrow()
+    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    total, distinct = totals[0] or 0, totals[1]
+    least = max(total * NGRAM_SHARE, MIN_COUNT)
+    single, arc = total * UNIGRAM_SHARE, max(total * ARC_SHARE, total * UNIGRAM_SHARE)
+    # a text has one start and one end
+    contexts = counts.unionByName(counts.filter(F.col("key") == int(END)).select(F.lit(int(START)).cast("bigint").alias("key"), "n"))
+    smoothed = (F.col("n") + SMOOTHING) / F.lit(total + SMOOTHING * (distinct + 1))
+    share = ((F.col("n") - DISCOUNT) / F.col("whole")).alias("share")
+
+    pairs = materialise(_counted_grams(texts, _pairs, least))
+    pairs = pairs.join(contexts.toDF("a", "whole"), "a").join(counts.select(F.col("key").alias("b"), smoothed.alias("lower")), "b")
+    pairs = materialise(pairs.select("key", "a", "b", "n", share, "lower"))
+    triples = materialise(_counted_grams(texts, _triples, least))
+    triples = triples.join(pairs.select(F.col("key").alias("a"), F.col("n").alias("whole")), "a")
+    triples = triples.join(pairs.select(F.col("key").alias("b"), F.col("share").alias("lower")), "b")
+    triples = materialise(triples.select("key", "a", "b", "n", share, "lower"))
+    one, two = _weights(pairs), _weights(triples)
+
+    tokens = counts.join(one.toDF("key", "weight"), "key", "left")
+    pairs = pairs.join(two.toDF("key", "weight"), "key", "left")
+    base = F.log10((F.col("n") + SMOOTHING) / F.lit(SMOOTHING))
+    beyond = F.log10(F.col("share") / F.col("lower"))
+    none = F.lit(None)
+    gains = [
+        tokens.filter(F.col("n") < F.lit(single)).select("key", "n", base.alias("base"), (base + F.coalesce("weight", F.lit(0.0))).alias("gain")),
+        pairs.filter(F.col("n") < F.lit(arc)).join(one.toDF("a", "context"), "a").select(
+            "key", none.cast("bigint").alias("n"), none.cast("double").alias("base"), (beyond - F.col("context") + F.coalesce("weight", F.lit(0.0))).alias("gain")
+        ),
+        triples.filter(F.col("n") < F.lit(arc)).join(two.toDF("a", "context"), "a").select(
+            "key", none.cast("bigint").alias("n"), none.cast("double").alias("base"), (beyond - F.col("context")).alias("gain")
+        ),
+    ]
+    gains = materialise(gains[0].unionByName(gains[1]).unionByName(gains[2]))
+
+    kept = tokens.filter(F.col("n") >= F.lit(single)).select("key", "n", "weight").toArrow()
     hashes = kept["key"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     lexicon = Lexicon(hashes[order], kept["n"].to_numpy()[order])
-    least = max(total * NGRAM_SHARE, 2)
-    allowed = np.concatenate([[ends >= least], lexicon.counts >= least, [False]])
-    found = _counted(texts, _Bigrams(lexicon, allowed)).filter(F.col("n") >= F.lit(least)).toArrow()
-    pairs = dict(sorted(zip(found["key"].to_pylist(), found["n"].to_pylist())))
-    keys = np.array(list(pairs), np.int64)
-    found = _counted(texts, _Trigrams(lexicon, keys)).filter(F.col("n") >= F.lit(least)).toArrow()
-    mask = (1 << _BITS) - 1
-    triples = {(int(keys[k >> _BITS]), k & mask): n for k, n in zip(found["key"].to_pylist(), found["n"].to_pylist())}
-    return build_automaton(lexicon, total, distinct, ends, pairs, triples), counts
+    numbers = lexicon.numbers(hashes).tolist()
+    weights = {number: weight for number, weight in zip(numbers, kept["weight"].to_pylist()) if weight is not None}
+    start = one.filter(F.col("a") == int(START)).first()
+    if start:
+        weights[_START] = start["weight"]
+    number = dict(zip(hashes.view(np.int64).tolist(), numbers)) | {int(START): _START}
+    place: dict[int, int] = {}
+    kept_pairs: dict[int, tuple[float, float | None]] = {}
+    frequent = F.col("n") >= F.lit(arc)
+    for row in pairs.filter(frequent).select("key", "a", "b", F.log10("share").alias("share"), "weight").toArrow().to_pylist():
+        place[row["key"]] = number[row["a"]] << _BITS | number[row["b"]]
+        kept_pairs[place[row["key"]]] = (row["share"], row["weight"])
+    kept_triples: dict[tuple[int, int], float] = {}
+    longer = list(place)
+    for row in triples.filter(frequent).select("key", "a", "b", F.log10("share").alias("share")).toArrow().to_pylist():
+        kept_triples[place[row["a"]], place[row["b"]] & ((1 << _BITS) - 1)] = row["share"]
+        longer.append(row["key"])
+    model = build_automaton(lexicon, total, distinct, weights, kept_pairs, kept_triples)
+    model.longer = np.sort(np.array(longer, np.int64).view(np.uint64))
+    return model, gains
+
+
+def _outside(keys: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    if not len(kept):
+        return np.ones(len(keys), bool)
+    return kept[np.minimum(np.searchsorted(kept, keys), len(kept) - 1)] != keys
 
 
 def _score_batch(batch: pa.RecordBatch, shared) -> Iterator[pa.RecordBatch]:
     model: Automaton = shared.value
-    single = np.array(model.single)
+    single, unseen = np.array(model.single), model.unigram(0)
     for chunk in text_chunks(batch.column("text")):
         hashes, bounds = tokens_of(chunk)
         numbers = model.lexicon.numbers(hashes)
         rare = numbers < 0
         base = np.zeros(len(numbers) + 1)
-        np.cumsum(np.where(rare, 0.0, single[numbers]), out=base[1:])
+        np.cumsum(np.where(rare, unseen, single[numbers]), out=base[1:])
         known = np.zeros(len(numbers) + 1, np.int64)
         np.cumsum(~rare, out=known[1:])
-        scores, tokens, amounts = [], [], []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            scores.append(model.traverse(numbers[a:b].tolist()))
-            key, count = np.unique(hashes[a:b][rare[a:b]], return_counts=True)
-            tokens.append(key.view(np.int64))
-            amounts.append(count.astype(np.int32))
+        unknown = (np.diff(bounds) - (known[bounds[1:]] - known[bounds[:-1]])) * unseen
+        scores = np.array([model.traverse(numbers[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+        a, b, text = _pairs(hashes, bounds)
+        found = [(hashes[rare], text[rare])]
+        for a, b, text in ((a, b, text), _triples(hashes, bounds)):
+            key = _joint(a, b)
+            outside = _outside(key, model.longer)
+            found.append((key[outside], text[outside]))
+        key, text = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((key, text))
+        key, text = key[order], text[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(key))).astype(np.int32)
+        offsets = pa.array(np.searchsorted(text[first], np.arange(len(chunk) + 1)).astype(np.int32))
         keys = {name: batch.column(name).slice(chunk.first, len(chunk)) for name in ("id", "held_out")}
         yield pa.RecordBatch.from_pydict(
             keys
@@ -293,14 +350,14 @@ def _score_batch(batch: pa.RecordBatch, shared) -> Iterator[pa.RecordBatch]:
                 "n_tokens": pa.array(np.diff(bounds)),
                 "frequent": pa.array(known[bounds[1:]] - known[bounds[:-1]]),
                 "base": pa.array(base[bounds[1:]] - base[bounds[:-1]]),
-                "path": pa.array(scores, pa.float64()),
-                "rare": pa.array(tokens, pa.list_(pa.int64())),
-                "times": pa.array(amounts, pa.list_(pa.int32())),
+                "path": pa.array(scores + unknown, pa.float64()),
+                "rare": pa.ListArray.from_arrays(offsets, pa.array(key[first].view(np.int64))),
+                "times": pa.ListArray.from_arrays(offsets, pa.array(times)),
             }
         )
 
 
-def score_texts(docs: DataFrame, model: Automaton, counts: DataFrame, doc_id: str, text: str, held: Column) -> DataFrame:
+def score_texts(docs: DataFrame, model: Automaton, gains: DataFrame, doc_id: str, text: str, held: Column) -> DataFrame:
     """One row per row of ``docs``: ``n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("id"), held.alias("held_out"), F.col(text).cast("string").alias("text"))
@@ -310,22 +367,23 @@ def score_texts(docs: DataFrame, model: Automaton, counts: DataFrame, doc_id: st
     # written once, so that the row numbers below are the same in both reads
     walked = materialise(walked.withColumn("row", F.monotonically_increasing_id()))
     rare = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
-    term = F.log10((F.coalesce("n", F.lit(0)) + SMOOTHING) / F.lit(model.total + SMOOTHING * (model.distinct + 1)))
-    few = counts.filter(F.col("n") < F.lit(model.total * UNIGRAM_SHARE))
     added = (
-        rare.join(few, "key", "left")
+        rare.join(gains, "key")
         .groupBy("row")
-        .agg(F.sum(term * F.col("times")).alias("rare_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"))
+        .agg(
+            F.sum(F.col("base") * F.col("times")).alias("rare_base"),
+            F.sum(F.col("gain") * F.col("times")).alias("rare_gain"),
+            F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"),
+        )
     )
-    rare_score = F.coalesce("rare_score", F.lit(0.0))
     return walked.drop("rare", "times").join(added, "row", "left").select(
         F.col("id").alias(doc_id),
         "held_out",
         "n_tokens",
         (F.col("frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + rare_score).alias("base_score"),
-        (F.col("path") + rare_score).alias("score"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("path") + F.coalesce("rare_gain", F.lit(0.0))).alias("score"),
     )
 
 
@@ -333,5 +391,5 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those outside the held-out fold."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out("doc_id", 10, 0)
-    model, counts = train(docs.filter(~held).select("text"))
-    return score_texts(docs, model, counts, "doc_id", "text", held)
+    model, gains = train(docs.filter(~held).select("text"))
+    return score_texts(docs, model, gains, "doc_id", "text", held)

@@ -141,3 +141,26 @@ def test_empty_training_and_empty_table(spark):
     found = L.score_texts(documents(spark, [(1, "a b")], row=3, n=1), model, counts, "doc_id", "text", F.lit(False)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in found] == [(3, 0, 0, 0.0, 0.0)]
     assert L.score_texts(documents(spark, []), model, counts, "doc_id", "text", F.lit(False)).collect() == []
+
+
+def test_all_repeated_ngrams_count_whatever_the_automaton_holds(spark, corpus):
+    """Scores do not depend on how much is broadcast: n-grams of rare words and rare n-grams are in the model too."""
+    docs = documents(spark, corpus)
+
+    def scores():
+        model, gains = L.train(docs.select("text"))
+        rows = L.score_texts(docs, model, gains, "doc_id", "text", F.lit(False)).collect()
+        return len(model.arcs), {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in rows}
+
+    arcs, whole = scores()  # on so few texts, the automaton holds all
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("UNIGRAM_SHARE", "ARC_SHARE"):
+            patch.setattr(L, name, 2e-3, raising=False)
+        fewer, split = scores()
+    assert fewer < arcs and split.keys() == whole.keys()
+    assert all(math.isclose(x, y, rel_tol=1e-9) for i in whole for x, y in zip(whole[i], split[i]))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(L, "UNIGRAM_SHARE", 0.5)
+        patch.setattr(L, "ARC_SHARE", 0.5)
+        none, joined = scores()  # all by the join
+    assert none == 0 and all(math.isclose(x, y, rel_tol=1e-9) for i in whole for x, y in zip(whole[i], joined[i]))
