@@ -76,6 +76,7 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
 def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, slots: int = SLOTS) -> np.ndarray:
     """Signatures (texts x slots, 32 bits each) of weighted sets; weights are whole numbers."""
     best = np.full(texts * slots, np.inf)
+    winner = np.zeros(texts * slots, np.uint64)
     # one process for each dyadic weight interval (low, low + width] that the element's weight reaches
     levels = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64) + 1
     owner = np.repeat(np.arange(len(text)), levels)
@@ -91,18 +92,23 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts
         number = np.arange(drawn, drawn + points, dtype=np.uint64) * np.uint64(3)
         draw = seed[:, None] + number[None, :] * np.uint64(0xD1342543DE82EF95)
         gap = -np.log(_uniform(mix(draw + np.uint64(1)))) / width[:, None]
-        at = time[:, None] + np.cumsum(gap, axis=1)
+        # summed from left to right, so a point's time does not depend on how many are drawn at once
+        at = np.cumsum(np.concatenate([time[:, None], gap], axis=1), axis=1)[:, 1:]
         mark = mix(draw + np.uint64(2))
         slot = ((mark >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
         # halving the interval again and again ends at one of its whole weights
         height = low[:, None] + 1 + ((mark & np.uint64(0xFFFFFFFF)) % width.astype(np.uint64)[:, None]).astype(np.int64)
         held = height <= reach[:, None]
-        np.minimum.at(best, (place[:, None] * slots + slot)[held], at[held])
+        where, at_held = (place[:, None] * slots + slot)[held], at[held]
+        np.minimum.at(best, where, at_held)
+        won = at_held == best[where]
+        winner[where[won]] = mark[held][won]
         slowest = best.reshape(texts, slots).max(axis=1)
         time, drawn = at[:, -1], drawn + points
         going = time < slowest[place]
         owner, seed, width, low, reach, place, time = (x[going] for x in (owner, seed, width, low, reach, place, time))
-    return (mix(best.view(np.uint64)) >> np.uint64(32)).astype(np.uint32).reshape(texts, slots)
+    # points are told apart by their own hash, not by the bits of their times
+    return (mix(winner) >> np.uint64(32)).astype(np.uint32).reshape(texts, slots)
 
 
 def _content_hash(words: Words) -> np.ndarray:

@@ -97,3 +97,16 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {i: i // 20 * 20 for i in range(60)} | {i: 100 for i in range(100, 150)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 8, 25, 300])
+def test_a_text_has_one_signature_in_any_chunk(size):
+    """Whatever texts are signed with it, and so however many points are drawn at once."""
+    draw = np.random.default_rng(size)
+    element, weight = draw.integers(0, 1 << 63, size).astype(np.uint64), draw.integers(1, 6, size)
+    alone = N.bag_minhash(np.zeros(size, np.int64), element, weight, 1)[0]
+    for others in (1, 30, 2000):
+        more = draw.integers(0, 1 << 63, others * 10).astype(np.uint64)
+        text = np.concatenate([np.zeros(size, np.int64), 1 + np.repeat(np.arange(others), 10)])
+        signed = N.bag_minhash(text, np.concatenate([element, more]), np.concatenate([weight, np.ones(others * 10, np.int64)]), others + 1)
+        assert (signed[0] == alone).all()
