@@ -144,7 +144,8 @@ def fit_quality_model(
     """Fit and calibrate on a bounded sample of the labelled texts."""
     sample = training_rows(docs, labels, label, doc_id, train_rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(sample), "id").select("draw", "label", "text")  # the sample is bounded
+    # the sample is bounded, and so are its texts: one of each id, whatever copies there are
+    joined = texts.join(F.broadcast(sample), "id").groupBy("draw", "id", "label").agg(F.min("text").alias("text")).drop("id")
     rows = map_batches(joined, _sample_batch, "draw bigint, label int, numbers array<int>, amounts array<float>")
     table = rows.toArrow().sort_by([("draw", "ascending"), ("label", "ascending")])
     return _fit(table)

@@ -226,7 +226,8 @@ def fit_toxicity(
     drawn = usable.select(F.xxhash64(F.col(doc_id)).alias("draw"), F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
     sample = drawn.orderBy("draw", "id", "label").limit(train_rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(sample), "id").select("draw", "label", "text")  # the sample is bounded
+    # the sample is bounded, and so are its texts: one of each id, whatever copies there are
+    joined = texts.join(F.broadcast(sample), "id").groupBy("draw", "id", "label").agg(F.min("text").alias("text")).drop("id")
     half = F.pmod(F.shiftright("draw", 20), F.lit(2))
     words = joined.filter(half == 0)
     model = Toxicity(learn_lexicon(words.filter("label = 1").select("text"), words.filter("label = 0").select("text")), exceptions)

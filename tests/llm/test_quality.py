@@ -68,3 +68,15 @@ def test_kept_rows_keep_their_columns(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "None"]
     empty = Q.keep_good(documents(spark, []), spark.createDataFrame([], LABELS))
     assert empty.collect() == [] and empty.columns == ["doc_id", "text"]
+
+
+def test_copies_of_a_labelled_document_do_not_weigh(spark, monkeypatch):
+    """A labelled id is one row of the fit, however often it is repeated and whatever other texts it has."""
+    draw = rng(4)
+    rows = [(i, sentence(draw, 30)) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], LABELS)
+    fitted = []
+    monkeypatch.setattr(Q, "_fit", lambda table: fitted.append(table.select(["draw", "label", "numbers"]).to_pylist()))
+    for more in ([], [rows[3]] * 40 + [(3, "~ another text")]):
+        Q.fit_quality_model(documents(spark, rows + more), labels)
+    assert len(fitted[0]) == 20 and fitted[0] == fitted[1]

@@ -79,3 +79,10 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, tmp_path):
         spark.read.parquet(str(folder / "labels.parquet")).withColumn("toxic", toxic).write.parquet(str(target / "labels.parquet"))
         results.append(sorted(tuple(r) for r in X.op4_toxicity(spark, str(target)).collect()))
     assert results[0] == results[1]
+
+
+def test_copies_of_a_labelled_document_do_not_weigh(spark):
+    rows, labels = small_corpus()
+    labels = spark.createDataFrame(labels, LABELS)
+    once, often = (X.fit_toxicity(documents(spark, rows + more), labels) for more in ([], rows[:3] * 40))
+    assert once.lexicon == often.lexicon and (once.slopes == often.slopes).all()
