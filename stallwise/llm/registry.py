@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, html_extract, license_scan, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity
+from stallwise.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
+    "op11_line_dedup": line_dedup.OP11_SQL,
 }
