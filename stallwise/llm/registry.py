@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity
+from stallwise.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 
 ORACLE_SQL = {
