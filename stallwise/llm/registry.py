@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallwise.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, lm_scoring, near_dedup, packing, quality, suffix_dedup, toxicity, whitening
+from stallwise.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, lm_scoring, near_dedup, packing, quality, source_divergence, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
     "op11_line_dedup": line_dedup.OP11_SQL,
+    "op13_source_divergence": source_divergence.OP13_SQL,
 }

@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from corpus import lower, rng
+from pyspark.sql import functions as F
+
+from stallwise.llm import source_divergence as sd
+from stallwise.llm.source_divergence import collapse, source_divergence, term_counts
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute(rows, min_docs=3, top=200):
+    rows = [(lang or "", source or "", TERM.findall(lower(text))) for lang, source, text in rows]
+    out = []
+    for lang in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == lang]
+        docs = Counter(term for _, _, terms in mine for term in set(terms))
+        kept = [term for term, n in docs.items() if n >= min_docs]
+        counts = defaultdict(Counter)
+        for _, source, terms in mine:
+            counts[source].update(t for t in terms if docs[t] >= min_docs)
+            counts[None].update(t for t in terms if docs[t] >= min_docs)
+        share = {
+            g: {t: 1 + 10**9 * (counts[g][t] + 1) // (sum(counts[g].values()) + len(kept)) for t in kept} for g in [None, *{r[1] for r in mine}]
+        }
+        f = lambda p, q: (p - q) ** 2 // q
+        for s in share.keys() - {None}:
+            pairs = [(o, sum(f(share[s][t], share[o][t]) for t in kept)) for o in share.keys() - {None, s}]
+            terms = [(t, f(share[s][t], share[None][t])) for t in kept if counts[s][t] and share[s][t] > share[None][t]]
+            for part, items, most in (("pair", pairs, len(pairs)), ("term", terms, top)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]
+                out += [(lang, s, part, item, value, rank) for rank, (item, value) in enumerate(ranked, 1)]
+    return sorted(out)
+
+
+def table(spark, rows, **extra):
+    df = spark.createDataFrame(rows, "lang string, source string, text string")
+    return df.withColumns({name: F.lit(value) for name, value in extra.items()}) if extra else df
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.select("lang", "source", "part", "item", "value", "rank").collect())
+
+
+def corpus_rows(count=300):
+    r = rng(11)
+    words = [f"{a}{b}" for a in ("Ab", "cD", "é", "ß", "日本", "x") for b in ("one", "Two", "ünf", "Q")]
+    rows = []
+    for i in range(count):
+        source = f"s{min(int(r.expovariate(0.3)), 8)}"
+        text = " ".join(r.choices(words[: 6 + i % 19], k=r.randrange(0, 30))) + r.choice(["", "12", "_tail", "\x00nul", "\n- end."])
+        rows.append((r.choice(["en", "de", None, ""]), source if i % 9 else None, text))
+    rows += [rows[5]] * 40 + [("en", "s1", rows[5][2])] * 7 + [("de", "only numbers", "12 34 !"), ("en", "empty", None), ("xx", "alone", "a a a")]
+    return rows + [("yy", f"t{k}", "rare%s" % "abc"[k % 3]) for k in range(5)] + [("zz", "", ""), ("zz", "b", None)]
+
+
+@pytest.mark.parametrize("min_docs,top", [(3, 200), (1, 4), (40, 1)])
+def test_equals_brute_force(spark, min_docs, top):
+    rows = corpus_rows()
+    assert found(source_divergence(table(spark, rows).repartition(6), min_docs=min_docs, top=top)) == brute(rows, min_docs, top)
+
+
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    rows = corpus_rows(80)
+    monkeypatch.setattr(sd, "BLOCK_CELLS", 5)
+    batch = table(spark, rows)
+    texts, _ = collapse(batch)
+    assert brute(rows) == found(source_divergence(batch))
+    held = texts.toArrow().combine_chunks().to_batches()[0]
+    whole = _counted(sd._count_batch(held))
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 20)
+    monkeypatch.setattr("stallwise.llm.words.CHUNK_BYTES", 10)
+    assert _counted(sd._count_batch(held)) == whole
+
+
+def _counted(batches):
+    total = Counter()
+    for batch in batches:
+        for r in batch.to_pylist():
+            total[r["lang"], r["source"], r["term"], "n"] += r["n"]
+            total[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+    return total
+
+
+def test_many_sources_in_blocks(monkeypatch):
+    """More pairs at one term than a block holds: parts of a term's members meet all of them."""
+    import pyarrow as pa
+
+    r = rng(2)
+    members = [[{"source": f"s{j}", "p": r.randrange(50, 900), "p0": r.randrange(1, 50)} for j in r.sample(range(30), k)] for k in (2, 30, 30, 7, 1)]
+    kind = pa.list_(pa.struct([("source", pa.string()), ("p", pa.int64()), ("p0", pa.int64())]))
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "a", "b", "b", "a"], "members": pa.array(members, kind)})
+    f = lambda p, q: (p - q) ** 2 // q
+    expected = Counter()
+    for lang, group in zip("aabba", members):
+        for x in group:
+            for y in group:
+                if x is not y:
+                    expected[lang, x["source"], y["source"]] += f(x["p"], y["p"]) - f(x["p"], y["p0"]) - f(x["p0"], y["p"]) + f(x["p0"], y["p0"])
+    for cells in (1 << 20, 100, 7):
+        monkeypatch.setattr(sd, "BLOCK_CELLS", cells)
+        rows = [row for part in sd._shared_batch(batch) for row in part.to_pylist()]
+        assert {(x["lang"], x["source"], x["other"]): x["value"] for x in rows} == dict(expected) and len(rows) == len(expected)
+
+
+def test_equal_texts_are_tokenised_once(spark):
+    rows = [("en", f"s{i % 3}", "same text here") for i in range(90)] + [("de", "s0", "same text here"), ("en", "s0", "other")]
+    texts, groups = collapse(table(spark, rows))
+    assert texts.count() == 3 and groups.count() == 4
+    copies = {(r.lang, r.text): {c.source: c.n for c in r.copies} for r in texts.collect()}
+    assert copies["en", "same text here"] == {"s0": 30, "s1": 30, "s2": 30}
+    counted = {(r.lang, r.source, r.term): (r.n, r.docs) for r in term_counts(texts).collect()}
+    assert counted["en", "s1", "text"] == (30, 30) and counted["de", "s0", "text"] == (1, 1)
+
+
+def test_shares_are_exact_for_large_counts(spark):
+    cases = [(0, 0, 1), (6, 13, 7), (10**15, 3 * 10**15, 10**6), (0, 10**18, 10**9), (999_999_999, 10**9 - 7, 7), (2, 2, 1), (0, 0, 0)]
+    rows = spark.createDataFrame(cases, "count bigint, total bigint, kept bigint")
+    got = [r[0] for r in rows.select(sd._share(F.col("count"), F.col("total"), F.col("kept"))).collect()]
+    assert got == [1 + 10**9 * (c + 1) // (n + v) if n + v else None for c, n, v in cases]
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    rows = corpus_rows(40)
+    df = table(spark, rows, term="t", n=1, docs=2, copies="c", k1=3, value=4, rank=5, other="o", p=6)
+    assert found(source_divergence(df)) == brute(rows)
+    assert source_divergence(df.limit(0)).count() == 0
+    assert found(source_divergence(table(spark, [(None, None, None)] * 3))) == []
