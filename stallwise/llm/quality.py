@@ -1,10 +1,10 @@
 """Quality rules: a calibrated logistic regression on hashed n-grams, beside fixed text rules.
 
 Features are word 1- and 2-grams and character 2- and 4-grams, hashed to ``BUCKETS`` buckets;
-each family is normalised by its number of n-grams. The regression is fitted on the driver on
+each family is normalised by its number of n-grams. The regression is fitted in one task on
 at most ``TRAIN_ROWS`` labelled rows (chosen by a hash of the id, so the same ones at any
-partitioning); a quarter of them is held back to calibrate its output to a probability. All
-texts are then scored in Arrow batches. A text is kept when no fixed rule fails and the
+partitioning), and only its weights reach the driver; a quarter of the rows is held back to calibrate
+its output to a probability. All texts are then scored in Arrow batches. A text is kept when no fixed rule fails and the
 probability of good quality reaches ``KEEP_PROBABILITY``.
 
 Defined results: NULL and empty texts have no words, fail the rule of fewest words and score the
@@ -138,25 +138,45 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, l
     return drawn.orderBy("draw", "id", "label").limit(limit)
 
 
-def fit_quality_model(
+def training_features(
     docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS
-) -> Model:
-    """Fit and calibrate on a bounded sample of the labelled texts."""
+) -> DataFrame:
+    """(draw, label, numbers, amounts): the features of the labelled texts that the model is fitted on."""
     sample = training_rows(docs, labels, label, doc_id, train_rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     # the sample is bounded, and so are its texts: one of each id, whatever copies there are
     joined = texts.join(F.broadcast(sample), "id").groupBy("draw", "id", "label").agg(F.min("text").alias("text")).drop("id")
-    rows = map_batches(joined, _sample_batch, "draw bigint, label int, numbers array<int>, amounts array<float>")
-    table = rows.toArrow().sort_by([("draw", "ascending"), ("label", "ascending")])
-    return _fit(table)
+    return map_batches(joined, _sample_batch, "draw bigint, label int, numbers array<int>, amounts array<float>")
+
+
+def fit_quality_model(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS
+) -> Model:
+    """Fit and calibrate on a bounded sample of the labelled texts, in one task."""
+    rows = training_features(docs, labels, label, doc_id, text, train_rows).repartition(1).sortWithinPartitions("draw", "label")
+    fitted = rows.mapInArrow(_fit_partition, "weights binary, bias double, slope double, shift double").first()
+    if fitted is None:  # without labelled texts there is no task
+        return _unfitted()
+    weights = np.frombuffer(fitted["weights"], np.float32).reshape(_FAMILIES, BUCKETS)
+    return Model(weights, fitted["bias"], fitted["slope"], fitted["shift"])
+
+
+def _fit_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("draw", pa.int64()), ("label", pa.int32()), ("numbers", pa.list_(pa.int32())), ("amounts", pa.list_(pa.float32()))])
+    model = _fit(pa.Table.from_batches([batch.cast(schema) for batch in batches], schema))
+    fitted = {"weights": model.weights.tobytes(), "bias": model.bias, "slope": model.slope, "shift": model.shift}
+    yield pa.RecordBatch.from_pylist([fitted])
+
+
+def _unfitted() -> Model:
+    return Model(np.zeros((_FAMILIES, BUCKETS), np.float32), 0.0, 0.0, float(np.log(PRIOR / (1 - PRIOR))))
 
 
 def _fit(table: pa.Table) -> Model:
-    flat = Model(np.zeros((_FAMILIES, BUCKETS), np.float32), 0.0, 0.0, float(np.log(PRIOR / (1 - PRIOR))))
     label = table["label"].to_numpy().astype(np.float64)
     held = np.arange(len(label)) % CALIBRATION_SHARE == 0
     if any(len(np.unique(label[part])) < 2 for part in (held, ~held)):
-        return flat
+        return _unfitted()
     sample = _Sample(table)
     weights, bias = _logistic(sample, label, ~held)
     margin = sample.margins(weights) + bias

@@ -70,13 +70,18 @@ def test_kept_rows_keep_their_columns(spark):
     assert empty.collect() == [] and empty.columns == ["doc_id", "text"]
 
 
-def test_copies_of_a_labelled_document_do_not_weigh(spark, monkeypatch):
+def test_copies_of_a_labelled_document_do_not_weigh(spark):
     """A labelled id is one row of the fit, however often it is repeated and whatever other texts it has."""
     draw = rng(4)
     rows = [(i, sentence(draw, 30)) for i in range(20)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], LABELS)
-    fitted = []
-    monkeypatch.setattr(Q, "_fit", lambda table: fitted.append(table.select(["draw", "label", "numbers"]).to_pylist()))
+    fitted, models = [], []
     for more in ([], [rows[3]] * 40 + [(3, "~ another text")]):
-        Q.fit_quality_model(documents(spark, rows + more), labels)
+        docs = documents(spark, rows + more)
+        features = Q.training_features(docs, labels).select("draw", "label", "numbers", "amounts")
+        fitted.append(sorted(tuple(r) for r in features.collect()))
+        models.append(Q.fit_quality_model(docs, labels))
     assert len(fitted[0]) == 20 and fitted[0] == fitted[1]
+    assert (models[0].weights == models[1].weights).all() and models[0].slope == models[1].slope
+    table = Q.training_features(docs, labels).toArrow().sort_by([("draw", "ascending"), ("label", "ascending")])
+    assert (Q._fit(table).weights == models[0].weights).all()
