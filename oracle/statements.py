@@ -643,5 +643,57 @@ def delivery() -> dict[str, str]:
     }
 
 
+# The keys and references that the tables declare.
+KEYS = (
+    ("orders", "m_orders", "order_id"),
+    ("order_items", "m_items", "order_id, order_item_id"),
+    ("products", "m_products", "product_id"),
+    ("category_translation", "m_translation", "product_category_name"),
+    ("customers", "m_customers", "customer_id"),
+    ("sellers", "m_sellers", "seller_id"),
+    ("order_reviews", "m_reviews", "review_id"),
+)
+REFERENCES = (
+    ("orders.customer_id", "m_orders", "m_customers", "customer_id"),
+    ("order_items.order_id", "m_items", "m_orders", "order_id"),
+    ("order_items.product_id", "m_items", "m_products", "product_id"),
+    ("order_items.seller_id", "m_items", "m_sellers", "seller_id"),
+    ("order_payments.order_id", "m_payments", "m_orders", "order_id"),
+    ("order_reviews.order_id", "m_reviews", "m_orders", "order_id"),
+    ("products.product_category_name", "m_products", "m_translation", "product_category_name"),
+)
+
+
+def key_audits() -> dict[str, str]:
+    everything = (ORDERS, ITEMS, PAYMENTS, REVIEWS, PRODUCTS, TRANSLATION, CUSTOMERS, SELLERS)
+    keys = " UNION ALL ".join(
+        f"""SELECT '{name}' AS audit, '{columns}' AS key_columns, count(*) AS repeated_keys,
+            CAST(coalesce(sum(cnt - 1), 0) AS BIGINT) AS excess_rows, coalesce(max(cnt), 1) AS most_rows
+        FROM (SELECT count(*) AS cnt FROM {table} GROUP BY {columns} HAVING count(*) > 1)"""
+        for name, table, columns in KEYS
+    )
+    references = " UNION ALL ".join(
+        f"""SELECT '{name}' AS reference, (SELECT count(*) FROM {child}) AS child_rows,
+            (SELECT count(*) FROM {child} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{key})) AS orphan_rows,
+            (SELECT count(DISTINCT {key}) FROM {child} WHERE {key} NOT IN
+                (SELECT {key} FROM {parent} WHERE {key} IS NOT NULL)) AS orphan_keys,
+            (SELECT count(*) FROM {parent}) AS parent_rows,
+            (SELECT count(*) FROM {parent} p WHERE NOT EXISTS (SELECT 1 FROM {child} c WHERE c.{key} = p.{key})) AS childless_rows"""
+        for name, child, parent, key in REFERENCES
+    )
+    details = "(order_status, customer_id, order_purchase_timestamp, order_approved_at, order_delivered_carrier_date," + (
+        " order_delivered_customer_date, order_estimated_delivery_date)"
+    )
+    return {
+        "key_audit": with_tables(*everything, query=" " + keys),
+        "foreign_key_audit": with_tables(*everything, query=" " + references),
+        "repeated_orders": with_tables(
+            ORDERS,
+            query=f""" SELECT order_id, count(*) AS cnt, count(DISTINCT {details}) > 1 AS conflicting
+            FROM m_orders GROUP BY order_id HAVING count(*) > 1""",
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return audits() | revenue() | rfm() | delivery()
+    return audits() | revenue() | rfm() | delivery() | key_audits()

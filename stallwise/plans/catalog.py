@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from stallwise.marketplace import Marketplace
-from stallwise.plans import delivery, feedback_audit, orders_audit, products_audit, revenue, rfm, row_rules
+from stallwise.plans import delivery, feedback_audit, key_audit, orders_audit, products_audit, revenue, rfm, row_rules
 
 Report = Callable[..., DataFrame]
 
@@ -81,6 +81,10 @@ _REPORTS: tuple[Report, ...] = (
     feedback_audit.latest_reviews,
     feedback_audit.reviews_with_text,
     feedback_audit.order_payment_totals,
+    # All keys and references at once.
+    key_audit.key_audit,
+    key_audit.foreign_key_audit,
+    key_audit.repeated_orders,
 )
 
 # Corrected readings of reports whose plain form follows the letter of the SQL.
