@@ -216,6 +216,7 @@ def audits() -> dict[str, str]:
                 EXCEPT SELECT product_category_name FROM m_translation""",
         ),
         "category_translation_upsert": translation(f" SELECT * FROM {UPSERTED}"),
+        "category_translation_log": translation(f" SELECT *, CAST(2 AS BIGINT) AS version FROM {UPSERTED}"),
         "verify_translation_upsert": translation(
             f" SELECT * FROM {UPSERTED} WHERE product_category_name IN"
             f" (SELECT product_category_name FROM {NEW_TRANSLATIONS})"
@@ -386,6 +387,24 @@ def gmv(*tables: str) -> str:
     )
 
 
+def rolled_up(name: str, number: str = "NULL", label: str = "NULL", source: str = "paid_orders") -> str:
+    groups = f"'{name}' AS rollup", f"CAST({number} AS BIGINT) AS number", f"CAST({label} AS VARCHAR) AS name"
+    return f""" SELECT rollup, number, name, total_orders, CAST(cents AS BIGINT) AS amount, payment_rows
+        FROM {paid_by(*groups, source=source)}"""
+
+
+ROLLUP = " UNION ALL".join(
+    [
+        rolled_up("month", "100 * year(order_purchase_timestamp) + month(order_purchase_timestamp)"),
+        rolled_up("day_of_week", "1 + dayofweek(order_purchase_timestamp)"),
+        rolled_up("hour_of_day", "hour(order_purchase_timestamp)"),
+        rolled_up("payment_type", label="payment_type"),
+        rolled_up("installments", "payment_installments", source="(SELECT * FROM paid_orders WHERE payment_type = 'credit_card')"),
+        rolled_up("state", label="customer_state", source="(SELECT * FROM paid_orders JOIN m_customers USING (customer_id))"),
+    ]
+)
+
+
 def revenue() -> dict[str, str]:
     calendar_months = f"""(
         SELECT year(first_day) AS order_year, month(first_day) AS order_month, cents
@@ -420,6 +439,7 @@ def revenue() -> dict[str, str]:
             query=f""" SELECT hour_of_day, total_orders, {amount('cents')} AS total_revenue
             FROM {paid_by('hour(order_purchase_timestamp) AS hour_of_day')}""",
         ),
+        "order_rollup": with_tables(*REVENUE, CUSTOMERS, query=ROLLUP),
         "mom_growth": with_tables(*REVENUE, query=growth(paid_by(*MONTHS))),
         "mom_growth_by_calendar": with_tables(*REVENUE, query=growth(calendar_months)),
     }
@@ -696,4 +716,7 @@ def key_audits() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return audits() | revenue() | rfm() | delivery() | key_audits()
+    plain = audits() | revenue() | rfm() | delivery() | key_audits()
+    # a state that has followed changes gives what a full run gives
+    changed = ("monthly_gmv", "category_revenue", "delivery_by_state")
+    return plain | {f"{name}_after_changes": plain[name] for name in changed}

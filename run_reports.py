@@ -7,9 +7,11 @@ import argparse
 from pyspark.sql import SparkSession
 
 from stallwise import REPORTS, Marketplace, run_report
-from stallwise.plans.products_audit import category_translation_upsert
+from stallwise.plans.products_audit import category_translation_upsert, commit_translations
 from stallwise.session import configure, scratch
+from stallwise.sources.readers import conform
 from stallwise.sources.sinks import versions_folder, write_reference_version, write_report
+from stallwise.sources.versions import VersionLog
 
 
 def arguments() -> argparse.Namespace:
@@ -26,6 +28,7 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--audit-keys", action="store_true", help="check primary keys first, for cheaper joins")
     parser.add_argument("--translation-version", type=int, help="stored version of the translations to read")
     parser.add_argument("--upsert-translations", type=int, metavar="VERSION", help="store this version first and read it")
+    parser.add_argument("--commit-translations", action="store_true", help="upsert them through their commit log, and read it")
     return parser.parse_args()
 
 
@@ -39,6 +42,11 @@ def marketplace(spark: SparkSession, args: argparse.Namespace) -> Marketplace:
             spark, args.tables, args.input_format, versions=versions, blank_as_null=args.blank_as_null, multi_line=args.multi_line
         )
 
+    if args.commit_translations:
+        market = tables(args.translation_version)
+        log = VersionLog(spark, f"{args.tables.rstrip('/')}/category_translation_log")
+        version = commit_translations(log, market.category_translation)
+        return market.replace(category_translation=conform(log.read(version), "category_translation"))
     if args.upsert_translations is None:
         return tables(args.translation_version)
     upserted = category_translation_upsert(tables(args.translation_version))

@@ -75,7 +75,10 @@ def delivery_kpis(
 
 def delivery_overall(m: Marketplace, full_sequence: bool = False, ignore_case: bool = False) -> DataFrame:
     deliveries = lead_times(deliveries_of(m, full_sequence, ignore_case))
-    kpis = delivery_kpis(deliveries, unique=m.is_unique("orders"))
+    return overall_report(delivery_kpis(deliveries, unique=m.is_unique("orders")))
+
+
+def overall_report(kpis: DataFrame) -> DataFrame:
     return kpis.select(
         F.col("total_orders").alias("total_delivered_orders"),
         mean("estimated_days", "rows", 1).alias("avg_estimated_days"),
@@ -87,10 +90,17 @@ def delivery_overall(m: Marketplace, full_sequence: bool = False, ignore_case: b
 
 def delivery_by_state(m: Marketplace, full_sequence: bool = False) -> DataFrame:
     """Delivery figures per customer state, ranked by the unrounded mean."""
+    return state_report(state_kpis(m, full_sequence))
+
+
+def state_kpis(m: Marketplace, full_sequence: bool = False) -> DataFrame:
     customers = fold(m.customers, "customer_id", ["customer_state"], unique=m.is_unique("customers"))
     deliveries = lead_times(deliveries_of(m, full_sequence), "customer_id").join(customers, "customer_id")
     unique = m.is_unique("orders") and m.is_unique("customers")
-    kpis = delivery_kpis(deliveries, ["customer_state"], "copies", unique)
+    return delivery_kpis(deliveries, ["customer_state"], "copies", unique)
+
+
+def state_report(kpis: DataFrame) -> DataFrame:
     return (
         with_rank(kpis, F.desc(F.col("actual_days") / F.col("rows")), "slowest_rank")
         .select(
@@ -107,22 +117,26 @@ def delivery_by_state(m: Marketplace, full_sequence: bool = False) -> DataFrame:
 
 
 def monthly_on_time(m: Marketplace, full_sequence: bool = False) -> DataFrame:
+    return month_report(month_kpis(m, full_sequence))
+
+
+def month_kpis(m: Marketplace, full_sequence: bool = False) -> DataFrame:
     deliveries = lead_times(
         deliveries_of(m, full_sequence),
         calendar.year(PURCHASE).alias("order_year"),
         calendar.month(PURCHASE).alias("order_month"),
     )
-    return (
-        delivery_kpis(deliveries, ["order_year", "order_month"], unique=m.is_unique("orders"))
-        .select(
-            "order_year",
-            "order_month",
-            "total_orders",
-            mean("actual_days", "rows", 1).alias("avg_actual_days"),
-            percent("on_time", "rows").alias("on_time_pct"),
-        )
-        .orderBy("order_year", "order_month")
-    )
+    return delivery_kpis(deliveries, ["order_year", "order_month"], unique=m.is_unique("orders"))
+
+
+def month_report(kpis: DataFrame) -> DataFrame:
+    return kpis.select(
+        "order_year",
+        "order_month",
+        "total_orders",
+        mean("actual_days", "rows", 1).alias("avg_actual_days"),
+        percent("on_time", "rows").alias("on_time_pct"),
+    ).orderBy("order_year", "order_month")
 
 
 def punctuality_vs_review(
@@ -133,6 +147,12 @@ def punctuality_vs_review(
     An order with several reviews counts each of them, or with ``latest_only``
     its newest one.
     """
+    return review_report(review_sums(m, same_day_is_first_band, latest_only, full_sequence))
+
+
+def review_sums(
+    m: Marketplace, same_day_is_first_band: bool = False, latest_only: bool = False, full_sequence: bool = False
+) -> DataFrame:
     band = lateness_band("on_time", "delay_days", same_day_is_first_band)
     orders = fold(
         lead_times(deliveries_of(m, full_sequence)).withColumn("delivery_status", band),
@@ -157,17 +177,19 @@ def punctuality_vs_review(
         orders.join(reviews, "order_id")
         .groupBy("delivery_status")
         .agg(count_rows().alias("total_orders"), *[F.sum(F.col(n) * times).alias(n) for n in names])
-        .select(
-            "delivery_status",
-            "total_orders",
-            mean("score", "scored", 2).alias("avg_review_score"),
-            percent("positive", "copies").alias("pct_positive_reviews"),
-            percent("negative", "copies").alias("pct_negative_reviews"),
-        )
-        .orderBy(F.desc("avg_review_score"))
     )
 
 
+def review_report(grouped: DataFrame) -> DataFrame:
+    return grouped.select(
+        "delivery_status",
+        "total_orders",
+        mean("score", "scored", 2).alias("avg_review_score"),
+        percent("positive", "copies").alias("pct_positive_reviews"),
+        percent("negative", "copies").alias("pct_negative_reviews"),
+    ).orderBy(F.desc("avg_review_score"))
+
+
 def freight_vs_speed(
     m: Marketplace, without_gaps: bool = False, weighed_only: bool = False, full_sequence: bool = False
 ) -> DataFrame:
@@ -175,6 +197,12 @@ def freight_vs_speed(
 
     ``weighed_only`` keeps items whose product has a positive weight.
     """
+    return freight_report(freight_sums(m, without_gaps, weighed_only, full_sequence))
+
+
+def freight_sums(
+    m: Marketplace, without_gaps: bool = False, weighed_only: bool = False, full_sequence: bool = False
+) -> DataFrame:
     orders = fold(
         lead_times(deliveries_of(m, full_sequence)),
         "order_id",
@@ -205,17 +233,19 @@ def freight_vs_speed(
             F.sum(F.col("days") * items_in_band).alias("days"),
             F.sum(F.col("on_time") * items_in_band).alias("on_time"),
         )
-        .select(
-            freight_label("band").alias("freight_bucket"),
-            "total_orders",
-            mean_money("freight", "charged").alias("avg_freight_brl"),
-            mean("days", "rows", 1).alias("avg_delivery_days"),
-            percent("on_time", "rows").alias("on_time_pct"),
-        )
-        .orderBy("avg_freight_brl")
     )
 
 
+def freight_report(grouped: DataFrame) -> DataFrame:
+    return grouped.select(
+        freight_label("band").alias("freight_bucket"),
+        "total_orders",
+        mean_money("freight", "charged").alias("avg_freight_brl"),
+        mean("days", "rows", 1).alias("avg_delivery_days"),
+        percent("on_time", "rows").alias("on_time_pct"),
+    ).orderBy("avg_freight_brl")
+
+
 def valid_delivery_rows(m: Marketplace) -> DataFrame:
     """Day measures of every order fit for lead-time analysis, sequence checked in full."""
     return lead_times(deliveries_of(m, full_sequence=True), PURCHASE, ARRIVAL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from stallwise.functions.measures import count_where
 from stallwise.marketplace import Marketplace
 from stallwise.operators import audit, keys
 from stallwise.plans.row_rules import rule_count, unusable
+from stallwise.session import keep_until_end, scratch_root
+from stallwise.sources.versions import VersionLog
 
 # Result names of the NULL counts.
 PRODUCT_NULLS = {
@@ -79,6 +82,36 @@ def after_upsert(
     return lambda m: report(m.replace(category_translation=category_translation_upsert(m, rows)))
 
 
+def commit_translations(log: VersionLog, first: DataFrame, rows: tuple[tuple[str, str], ...] = NEW_TRANSLATIONS) -> int:
+    """Commit the upsert to a log of the translation table, which starts as ``first``; gives the version that holds it.
+
+    Writers at the same time each find their rows in the version they are given, and committing rows that are
+    there changes nothing.
+    """
+    key = "product_category_name"
+    new = first.sparkSession.createDataFrame(list(rows), first.schema)
+
+    def change(table: DataFrame | None) -> DataFrame | None:
+        if table is not None:
+            there = table.select(F.col(key).alias("_there")).distinct()
+            if new.join(there, new[key].eqNullSafe(there["_there"]), "left_anti").isEmpty():
+                return None
+        return keys.upsert_reference(first if table is None else table, new, key)
+
+    return log.update(change)
+
+
+def category_translation_log(m: Marketplace, rows: tuple[tuple[str, str], ...] = NEW_TRANSLATIONS) -> DataFrame:
+    """The translation table committed as it is, then upserted twice: the newest version, and its number."""
+    spark = m.category_translation.sparkSession
+    log = VersionLog(spark, f"{scratch_root(spark)}/stallwise-{uuid.uuid4().hex}")
+    keep_until_end(log.root)
+    log.commit(m.category_translation, 0)
+    commit_translations(log, m.category_translation, rows)
+    version = commit_translations(log, m.category_translation, rows)
+    return log.read(version).withColumn("version", F.lit(version).cast("bigint"))
+
+
 def verify_translation_upsert(m: Marketplace, rows: tuple[tuple[str, str], ...] = NEW_TRANSLATIONS) -> DataFrame:
     """The upserted rows as found in the next version of the table."""
     names = [name for name, _ in rows]

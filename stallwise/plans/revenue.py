@@ -90,17 +90,17 @@ def monthly_amounts(m: Marketplace, ignore_case: bool = False) -> DataFrame:
 
 
 def monthly_gmv(m: Marketplace, ignore_case: bool = False) -> DataFrame:
-    return (
-        monthly_amounts(m, ignore_case)
-        .select(
-            "order_year",
-            "order_month",
-            "total_orders",
-            money("amount").alias("monthly_gmv"),
-            mean_money("amount", "total_orders").alias("avg_order_value"),
-        )
-        .orderBy("order_year", "order_month")
-    )
+    return gmv_report(monthly_amounts(m, ignore_case))
+
+
+def gmv_report(monthly: DataFrame) -> DataFrame:
+    return monthly.select(
+        "order_year",
+        "order_month",
+        "total_orders",
+        money("amount").alias("monthly_gmv"),
+        mean_money("amount", "total_orders").alias("avg_order_value"),
+    ).orderBy("order_year", "order_month")
 
 
 def mom_growth(m: Marketplace, by_calendar: bool = False) -> DataFrame:
@@ -108,7 +108,11 @@ def mom_growth(m: Marketplace, by_calendar: bool = False) -> DataFrame:
 
     The calendar form lists months without revenue too, with a NULL amount.
     """
-    monthly = monthly_amounts(m).select("order_year", "order_month", F.col("amount").alias("monthly_gmv"))
+    return growth_report(monthly_amounts(m), by_calendar)
+
+
+def growth_report(amounts: DataFrame, by_calendar: bool = False) -> DataFrame:
+    monthly = amounts.select("order_year", "order_month", F.col("amount").alias("monthly_gmv"))
     if by_calendar:
         monthly = fill_months(monthly, "order_year", "order_month")
     grown = period_growth(monthly, ["order_year", "order_month"], "monthly_gmv", "prev_month_gmv", "mom_growth_pct")
@@ -122,7 +126,11 @@ def mom_growth(m: Marketplace, by_calendar: bool = False) -> DataFrame:
 
 
 def category_revenue(m: Marketplace) -> DataFrame:
-    """Item revenue per English category name.
+    return category_report(category_amounts(m))
+
+
+def category_amounts(m: Marketplace) -> DataFrame:
+    """Orders, cents and priced items per English category name.
 
     Names are joined to products and the result folded by product and name, so items meet
     one narrow table by product key and never travel by category. Items stay unfolded for
@@ -160,20 +168,25 @@ def category_revenue(m: Marketplace) -> DataFrame:
             F.sum(F.col("amount") * F.col("copies")).alias("amount"),
             F.sum(F.col("priced_items") * F.col("copies")).alias("priced_items"),
         )
-        .select(
-            "category",
-            "total_orders",
-            money("amount").alias("total_revenue"),
-            mean_money("amount", "priced_items").alias("avg_item_price"),
-            mean_money("amount", "total_orders").alias("revenue_per_order"),
-        )
-        .orderBy(F.desc("total_revenue"))
     )
 
 
+def category_report(grouped: DataFrame) -> DataFrame:
+    return grouped.select(
+        "category",
+        "total_orders",
+        money("amount").alias("total_revenue"),
+        mean_money("amount", "priced_items").alias("avg_item_price"),
+        mean_money("amount", "total_orders").alias("revenue_per_order"),
+    ).orderBy(F.desc("total_revenue"))
+
+
 def payment_type_revenue(m: Marketplace) -> DataFrame:
     payments = fold_payments(defined_payments(m.order_payments), "payment_type")
-    grouped = join_payments(delivered_by(m, {}), payments, ["payment_type"])
+    return payment_type_report(join_payments(delivered_by(m, {}), payments, ["payment_type"]))
+
+
+def payment_type_report(grouped: DataFrame) -> DataFrame:
     return (
         with_share_of_total(grouped, "amount", "revenue_share_pct")
         .select(
@@ -194,9 +207,11 @@ def installment_profile(m: Marketplace, per_order: bool = False) -> DataFrame:
     per distinct order.
     """
     cards = m.order_payments.filter(F.col("payment_type") == CREDIT_CARD)
-    grouped = join_payments(
-        delivered_by(m, {}), fold_payments(cards, "payment_installments"), ["payment_installments"]
-    )
+    payments = fold_payments(cards, "payment_installments")
+    return installment_report(join_payments(delivered_by(m, {}), payments, ["payment_installments"]), per_order)
+
+
+def installment_report(grouped: DataFrame, per_order: bool = False) -> DataFrame:
     return grouped.select(
         F.col("payment_installments").cast("bigint").alias("payment_installments"),
         "total_orders",
@@ -213,7 +228,10 @@ def state_revenue(m: Marketplace, per_order: bool = False) -> DataFrame:
         .agg(F.sum("copies").alias("copies"))
     )
     payments = payments_by_order(m)
-    grouped = join_payments(orders, payments, ["customer_state"])
+    return state_report(join_payments(orders, payments, ["customer_state"]), per_order)
+
+
+def state_report(grouped: DataFrame, per_order: bool = False) -> DataFrame:
     return (
         with_share_of_total(grouped, "amount", "revenue_share_pct")
         .select(
@@ -229,9 +247,11 @@ def state_revenue(m: Marketplace, per_order: bool = False) -> DataFrame:
 
 def day_of_week_profile(m: Marketplace) -> DataFrame:
     payments = payments_by_order(m)
-    grouped = join_payments(
-        delivered_by(m, {"day_number": calendar.day_number(PURCHASE)}), payments, ["day_number"]
-    )
+    orders = delivered_by(m, {"day_number": calendar.day_number(PURCHASE)})
+    return day_report(join_payments(orders, payments, ["day_number"]))
+
+
+def day_report(grouped: DataFrame) -> DataFrame:
     return grouped.select(
         calendar.day_name("day_number").alias("day_of_week"),
         "day_number",
@@ -242,7 +262,9 @@ def day_of_week_profile(m: Marketplace) -> DataFrame:
 
 def hour_of_day_profile(m: Marketplace) -> DataFrame:
     payments = payments_by_order(m)
-    grouped = join_payments(delivered_by(m, {"hour_of_day": calendar.hour(PURCHASE)}), payments, ["hour_of_day"])
-    return grouped.select("hour_of_day", "total_orders", money("amount").alias("total_revenue")).orderBy(
-        "hour_of_day"
-    )
+    orders = delivered_by(m, {"hour_of_day": calendar.hour(PURCHASE)})
+    return hour_report(join_payments(orders, payments, ["hour_of_day"]))
+
+
+def hour_report(grouped: DataFrame) -> DataFrame:
+    return grouped.select("hour_of_day", "total_orders", money("amount").alias("total_revenue")).orderBy("hour_of_day")

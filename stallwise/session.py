@@ -77,6 +77,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+def keep_until_end(path: str) -> None:
+    """Inside :func:`scratch`, have a folder removed at the end of the block."""
+    if _scopes:
+        _scopes[-1].append(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a scratch table and return a DataFrame that reads it.
 
@@ -86,7 +92,6 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/stallwise-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    keep_until_end(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
