@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from stallwise.marketplace import Marketplace
 from stallwise.plans import delivery, feedback_audit, key_audit, orders_audit, products_audit, report_state, revenue, rfm, rollup, row_rules
+from stallwise.sources.clustered import from_clustered
 
 Report = Callable[..., DataFrame]
 
@@ -119,6 +120,10 @@ _VARIANTS: dict[str, Report] = {
     "monthly_gmv_after_changes": report_state.replayed("monthly_gmv"),
     "category_revenue_after_changes": report_state.replayed("category_revenue"),
     "delivery_by_state_after_changes": report_state.replayed("delivery_by_state"),
+    # Reports over tables stored by order.
+    "monthly_gmv_clustered": from_clustered(revenue.monthly_gmv, "orders", "order_payments"),
+    "freight_vs_speed_clustered": from_clustered(delivery.freight_vs_speed, "orders", "order_items"),
+    "punctuality_vs_review_clustered": from_clustered(delivery.punctuality_vs_review, "orders", "order_reviews"),
 }
 
 REPORTS: dict[str, Report] = {report.__name__: report for report in _REPORTS} | _VARIANTS

@@ -10,6 +10,7 @@ from stallwise.functions.calendar import days_between
 from stallwise.functions.measures import count_rows, mean, mean_money, money
 from stallwise.marketplace import Marketplace
 from stallwise.operators.grouping import with_share_of_total
+from stallwise.operators.heavy import heavy_keys
 from stallwise.operators.tiles import SortKey, with_tiles
 from stallwise.plans.revenue import PURCHASE, delivered, delivered_with_customer, payments_by_order
 from stallwise.session import materialise
@@ -31,12 +32,14 @@ HEAVY_ONE_IN = 1000
 
 
 def heavy_orders(m: Marketplace) -> DataFrame:
-    """Order keys that a share of all delivered orders have, with the parts to split them in."""
-    orders = delivered(m.orders)
+    """Order keys that a share of all delivered orders have, with the parts to split them in.
+
+    The share is taken of the rows that have a key; only candidates of it are counted and exchanged.
+    """
+    orders = delivered(m.orders).filter(F.col("order_id").isNotNull())
+    heavy = heavy_keys(orders, "order_id", HEAVY_ONE_IN)
     rows = orders.agg(count_rows()).scalar()
-    counted = orders.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(count_rows().alias("rows"))
-    parts = F.ceil(F.col("rows") * HEAVY_ONE_IN / rows)
-    return counted.filter(F.col("rows") * HEAVY_ONE_IN > rows).select("order_id", parts.cast("bigint").alias("parts"))
+    return heavy.select("order_id", F.ceil(F.col("rows") * HEAVY_ONE_IN / rows).cast("bigint").alias("parts"))
 
 
 def paid_orders(m: Marketplace) -> DataFrame:
