@@ -45,8 +45,8 @@ from stallwise.llm.words import SPACED_LOWER, Chunk, find_words, mix, text_chunk
 
 SMOOTHING = 0.1
 STRENGTH = 4.0  # occurrences that the next shorter context counts for
-GROUP_ROWS = 4096  # rows of a file whose texts meet their answers together
-PART_BYTES = 1 << 24  # of texts, at which a part of a group ends
+GROUP_ROWS = 2048  # rows of a file whose texts meet their answers together
+PART_BYTES = 1 << 23  # of texts, at which a part of a group ends
 PIECE = 512  # tokens of a text that are traversed as one piece
 
 START = np.uint64(0)
@@ -81,7 +81,14 @@ def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(hashes, return_inverse=True)
+    """Sorted distinct hashes, and the number of each entry's."""
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    ranked = hashes[order]
+    fresh = np.ones(len(ranked), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    which = np.empty(len(ranked), np.int32)
+    which[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return ranked[fresh], which
 
 
 class Grams:
@@ -94,8 +101,9 @@ class Grams:
             hashes.append(own)
             bounds.append(ends[1:] + bounds[-1][-1])
         tokens = np.concatenate(hashes)
+        del hashes
         self.bounds = np.concatenate(bounds)
-        self.text = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        self.text = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
         self.tokens, self.token = _unique(tokens)
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
@@ -103,10 +111,13 @@ class Grams:
         self.first[self.bounds[:-1]] = True
         before[self.first] = START
         pairs = _joint(before, tokens)
+        del before, tokens
         self.pairs, self.pair = _unique(pairs)
-        inside = np.flatnonzero(~self.first)
-        self.triples, triple = _unique(_joint(pairs[inside - 1], pairs[inside]))
-        self.triple = np.full(len(tokens), -1, np.int64)
+        inside = ~self.first
+        triples = _joint(pairs[:-1][inside[1:]], pairs[inside])
+        del pairs
+        self.triples, triple = _unique(triples)
+        self.triple = np.full(len(inside), -1, np.int32)
         self.triple[inside] = triple
 
     def keys(self, kind: int) -> np.ndarray:
