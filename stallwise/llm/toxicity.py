@@ -42,7 +42,6 @@ MIN_WEIGHT = 1.0
 MIN_SIGMAS = 4.0
 BEGINNINGS = range(4, 9)  # letters of a word's beginning
 SAID_BY_LONGER = 0.9  # a beginning goes where one longer entry has this share of its texts
-LEXICON_ENTRIES = 20_000  # the heaviest are kept
 PREDICTED_FROM = 0.7
 PRIOR = 0.1
 
@@ -185,7 +184,7 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame) -> dict[str, float]:
         weight = log(a / (n_toxic + 1)) - log(b / (n_clean + 1))
         if weight >= MIN_WEIGHT and weight >= MIN_SIGMAS * sqrt(1 / a + 1 / b):
             weights[term] = weight
-    return dict(sorted(weights.items(), key=lambda item: (-item[1], item[0]))[:LEXICON_ENTRIES])
+    return dict(sorted(weights.items(), key=lambda item: (-item[1], item[0])))
 
 
 def _calibrate(model: Toxicity, features: np.ndarray, label: np.ndarray) -> None:

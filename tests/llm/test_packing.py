@@ -38,7 +38,6 @@ def test_given_documents(spark):
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     for doc, encoding in zip(docs, tokenizer.encode_batch([d["text"] or "" for d in docs], add_special_tokens=False)):
         ids = np.array([*encoding.ids, 0], "<u4")
         found = sorted(pieces[doc["doc_id"]], key=lambda r: r["piece"])
@@ -104,6 +103,21 @@ def test_edges(spark):
     check_pack(found, 2048)
     assert sorted(r["ids"] for r in found if r["doc_id"] in (1, 2)) == [[0], [0]]
     assert sum(r["doc_id"] == 5 for r in found) == 3 and sum(r["doc_id"] is None for r in found) == 2
-    assert len(next(r["ids"] for r in found if r["doc_id"] == 8)) > 3  # ordinary text, no special token
+    ids = Tokenizer.from_file(PATH).encode("<|endoftext|>", add_special_tokens=False).ids
+    assert len(ids) == 1 and next(r["ids"] for r in found if r["doc_id"] == 8) == [*ids, 0]
     assert [r["length"] for r in sorted(found, key=lambda r: r["piece"]) if r["doc_id"] == 9][1:] == [2048, 2048]
     assert P.pack_documents(documents(spark, []), PATH).collect() == []
+
+
+def test_ids_are_those_of_the_default_call():
+    """Texts with strings of added tokens, whole, in part and beside others, by tokenizers with its own settings."""
+    tokenizer = Tokenizer.from_file(PATH)
+    encode = P.byte_level_encoder(PATH)
+    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+    assert added
+    draw = rng(5)
+    pieces = [*added, "<|", "|>", " ", "  \n", "word", " it's", "é", "\U0001f600", "<|endoftext", "endoftext|>", "\x00", "12 345"]
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(9))) for _ in range(400)] + ["a <|endoftext|> b"]
+    assert sum(any(a in t for a in added) for t in texts) > 100
+    for text in texts:
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids

@@ -86,3 +86,36 @@ def test_copies_of_a_labelled_document_do_not_weigh(spark):
     labels = spark.createDataFrame(labels, LABELS)
     once, often = (X.fit_toxicity(documents(spark, rows + more), labels) for more in ([], rows[:3] * 40))
     assert once.lexicon == often.lexicon and (once.slopes == often.slopes).all()
+
+
+def plain_hits(model, folded):
+    """Every entry and phrase looked for at every place."""
+    places = lambda entry: [p for p in range(len(folded)) if folded.startswith(entry, p)]
+    found = {}
+    for entry, weight in model.lexicon.items():
+        for p in places(entry):
+            found[p] = max(found.get(p, 0.0), weight)
+    for phrase in map(X.fold, model.exceptions):
+        for begin in places(phrase):
+            for p in [p for p in found if begin <= p < begin + len(phrase) - 1]:
+                del found[p]
+    return found
+
+
+def test_hits_equal_a_plain_search():
+    draw = rng(12)
+    words = ["tra", "trash", "trasher", "can", "ca", "a", "clown", "clowns", "class", "é"]
+    for _ in range(60):
+        entries = {f" {draw.choice(words)}{draw.choice([' ', ''])}": draw.choice([0.5, 1.0, 2.5]) for _ in range(draw.randrange(6))}
+        phrases = tuple(" ".join(draw.choices(words, k=draw.randrange(1, 4))) for _ in range(draw.randrange(4)))
+        model = X.Toxicity(entries, phrases)
+        for _ in range(20):
+            folded = X.fold(" ".join(draw.choices(words, k=draw.randrange(12))))
+            assert model.hits(folded) == plain_hits(model, folded)
+
+
+def test_the_lexicon_has_no_cap(spark):
+    """Entries beyond any fixed number stay: as many as the labelled texts tell apart."""
+    toxic = [(i, " ".join(f"bad{k}x" for k in range(30 * (i % 10), 30 * (i % 10) + 30))) for i in range(200)]
+    toxic, clean = (documents(spark, rows).select("text") for rows in (toxic, [(i, "fine words only here") for i in range(4000)]))
+    assert sum(entry.endswith("x ") for entry in X.learn_lexicon(toxic, clean)) == 300
