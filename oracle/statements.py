@@ -715,8 +715,89 @@ def key_audits() -> dict[str, str]:
     }
 
 
+def witnessed(table: str, key: str, rules: dict[str, str]) -> str:
+    """Violations and the three keys with the least MD5 of each rule."""
+    each = " UNION ALL ".join(
+        f"""SELECT '{rule}' AS rule, violations, position, witness
+        FROM (SELECT count(*) FILTER (WHERE {condition}) AS violations FROM {table})
+        LEFT JOIN (SELECT row_number() OVER (ORDER BY md5(witness), witness) AS position, witness
+                   FROM (SELECT DISTINCT {key} AS witness FROM {table} WHERE {condition}) QUALIFY position <= 3) ON true"""
+        for rule, condition in rules.items()
+    )
+    return " " + each
+
+
+def further() -> dict[str, str]:
+    dollars = "CAST(freight_value AS DECIMAL(18,2))"
+    holes = {
+        "freight (-inf, 0)": f"{dollars} < 0",
+        "freight (0, 1)": f"{dollars} > 0 AND {dollars} < 1",
+        **{f"freight ({n}, {n + 1})": f"{dollars} > {n} AND {dollars} < {n + 1}" for n in (20, 40, 60)},
+        "NULL": "freight_value IS NULL",
+    }
+    freight = " UNION ALL ".join(
+        f"SELECT 'freight' AS decision, '{region}' AS region, count(*) FILTER (WHERE {condition}) AS rows FROM m_items"
+        for region, condition in holes.items()
+    )
+    outcomes = {
+        "kept": "NOT (soon OR impossible)",
+        "not a timestamp_ntz in order_approved_at": "soon",
+        "not a timestamp_ntz in order_delivered_carrier_date": "impossible",
+    }
+    loads = " UNION ALL ".join(
+        f"SELECT '{outcome}' AS outcome, count(*) AS rows FROM loads WHERE {condition} HAVING count(*) > 0"
+        for outcome, condition in outcomes.items()
+    )
+    return {
+        "decision_coverage": with_tables(
+            ORDERS,
+            ITEMS,
+            DELIVERIES,
+            query=f""" {freight}
+            UNION ALL SELECT 'lateness', 'on_time 0 and delay_days (-inf, 0]', count(*) FILTER (WHERE on_time = 0 AND delay_days <= 0) FROM deliveries
+            UNION ALL SELECT 'lateness', 'NULL', count(*) FILTER (WHERE on_time IS NULL OR delay_days IS NULL) FROM deliveries""",
+        ),
+        "orders_rule_witnesses": with_tables(
+            ORDERS,
+            query=witnessed(
+                "m_orders",
+                "coalesce(CAST(order_id AS VARCHAR), '')",
+                {
+                    "total_invalid_dates": BAD_SEQUENCE,
+                    "err_approval_before_purchase": EARLY_APPROVAL,
+                    "err_past_estimated_delivery": EARLY_ESTIMATE,
+                    "delivered_but_no_date": UNDATED,
+                    "cancelled_but_delivered": DATED_INCOMPLETE,
+                },
+            ),
+        ),
+        "items_rule_witnesses": with_tables(
+            ITEMS,
+            query=witnessed(
+                "m_items",
+                "coalesce(CAST(order_id AS VARCHAR), '') || ',' || coalesce(CAST(order_item_id AS VARCHAR), '')",
+                {"total_invalid_prices": "price <= 0", "free_shipping_count": "freight_value = 0"},
+            ),
+        ),
+        "orders_quarantine": with_tables(
+            ORDERS,
+            query=f""" SELECT * FROM (WITH loads AS (
+                SELECT coalesce(hour(order_purchase_timestamp) = 3, false) AS soon,
+                       coalesce(day(order_purchase_timestamp) = 13, false) AS impossible FROM m_orders) {loads})""",
+        ),
+        "distinct_by_month": with_tables(
+            ORDERS,
+            CUSTOMERS,
+            query=""" SELECT year(order_purchase_timestamp) AS order_year, month(order_purchase_timestamp) AS order_month, customer_state,
+                count(DISTINCT order_id) AS orders, count(DISTINCT customer_unique_id) AS persons,
+                true AS orders_within_bound, true AS persons_within_bound
+            FROM m_orders JOIN m_customers USING (customer_id) WHERE order_status = 'delivered' GROUP BY ALL""",
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    plain = audits() | revenue() | rfm() | delivery() | key_audits()
+    plain = audits() | revenue() | rfm() | delivery() | key_audits() | further()
     # a state that has followed changes gives what a full run gives
     changed = ("monthly_gmv", "category_revenue", "delivery_by_state")
     # and neither does it matter how tables are stored

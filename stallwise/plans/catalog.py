@@ -8,7 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from stallwise.marketplace import Marketplace
-from stallwise.plans import delivery, feedback_audit, key_audit, orders_audit, products_audit, report_state, revenue, rfm, rollup, row_rules
+from stallwise.plans import coverage, delivery, distinct_counts, feedback_audit, key_audit, orders_audit, products_audit, report_state, revenue, rfm, rollup, row_rules
+from stallwise.sources import quarantine
 from stallwise.sources.clustered import from_clustered
 
 Report = Callable[..., DataFrame]
@@ -88,6 +89,12 @@ _REPORTS: tuple[Report, ...] = (
     key_audit.repeated_orders,
     # Sums of all order and payment reports, from one join.
     rollup.order_rollup,
+    # Rows between the rules, examples of broken rules, loads with bad values, sketches.
+    coverage.decision_coverage,
+    row_rules.orders_rule_witnesses,
+    row_rules.items_rule_witnesses,
+    quarantine.orders_quarantine,
+    distinct_counts.distinct_by_month,
 )
 
 # Corrected readings of reports whose plain form follows the letter of the SQL.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions import text
 from stallwise.marketplace import Marketplace
-from stallwise.operators import audit
+from stallwise.operators import audit, witnesses
 
 # Order statuses, the review score range, and limits of dimensions.
 DELIVERED = "delivered"
@@ -108,6 +108,22 @@ def rule_audit(m: Marketplace, table: str) -> DataFrame:
     return m.shared(f"rules of {table}", lambda: audit.rule_audit(getattr(m, table), RULES[table]()))
 
 
+WITNESSES = 3
+
+
+def rule_witnesses(m: Marketplace, table: str, keys: tuple[str, ...], k: int = WITNESSES) -> DataFrame:
+    """All rules on a table, counted in one scan that also keeps a few keys which break each."""
+    return witnesses.rule_witnesses(getattr(m, table), RULES[table](), keys, k)
+
+
+def orders_rule_witnesses(m: Marketplace) -> DataFrame:
+    return rule_witnesses(m, "orders", ("order_id",))
+
+
+def items_rule_witnesses(m: Marketplace) -> DataFrame:
+    return rule_witnesses(m, "order_items", ("order_id", "order_item_id"))
+
+
 def rule_count(m: Marketplace, table: str, name: str) -> DataFrame:
     """Rows that break one rule. In a run of many reports the table's one scan has counted them."""
     if m.is_sharing:

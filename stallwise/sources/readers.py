@@ -60,15 +60,28 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def _typed(found: T.StructField, wanted: T.DataType) -> Column:
-    """A column in the wanted type. A value that would be lost or changed fails the job.
+    """A column in the wanted type. A value that would be lost or changed fails the job."""
+    value, refused = _checked(found, wanted)
+    if refused is None:
+        return value
+    reason = F.concat(F.lit(f"{_not_a(found, wanted)}: "), F.col(found.name).cast("string"))
+    return F.when(refused, F.raise_error(reason).cast(wanted)).otherwise(value)
+
+
+def _not_a(found: T.StructField, wanted: T.DataType) -> str:
+    return f"not a {wanted.simpleString()} in {found.name}"
+
+
+def _checked(found: T.StructField, wanted: T.DataType) -> tuple[Column, Column | None]:
+    """A column in the wanted type, and whether a value would be lost or changed by it (None: never).
 
     Doubles are rounded to the places of a decimal, half up, as they cannot hold them exactly.
     """
     column, kind = F.col(found.name), found.dataType
     if kind == wanted:
-        return column
+        return column, None
     if isinstance(wanted, T.StringType):
-        return column.cast(wanted)
+        return column.cast(wanted), None
     value = column.try_cast(wanted)
     if isinstance(kind, T.StringType) and isinstance(wanted, T.TimestampNTZType):
         value = F.when(column.rlike(TIMESTAMP_PATTERN), value)
@@ -77,8 +90,7 @@ def _typed(found: T.StructField, wanted: T.DataType) -> Column:
         kept = kept & (column.try_cast(_WIDE) == value.cast(_WIDE))
     elif isinstance(wanted, T.IntegerType) and not isinstance(kind, T.StringType):
         kept = kept & (column.cast("double") == value.cast("double"))
-    refused = F.raise_error(F.concat(F.lit(f"not a {wanted.simpleString()} in {found.name}: "), column.cast("string")))
-    return F.when(column.isNull() | kept, value).otherwise(refused.cast(wanted))
+    return value, column.isNotNull() & ~F.coalesce(kept, F.lit(False))
 
 
 def _not_blank(name: str) -> Column:

@@ -1,0 +1,171 @@
+"""Decision tables, witnesses of rules, quarantined loads and sketches of distinct counts."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from datetime import datetime
+from itertools import product
+from math import inf
+
+import pytest
+from market import customer, marketplace, order, rows
+from pyspark.sql import functions as F
+from test_keys import _nodes
+
+from stallwise.functions import bands
+from stallwise.functions.decisions import DecisionTable, Interval, Rule, exactly
+from stallwise.operators.witnesses import rule_witnesses
+from stallwise.plans import distinct_counts
+from stallwise.plans.coverage import FREIGHT, LATENESS, SEGMENTS, decision_coverage
+from stallwise.sources.quarantine import MALFORMED, read_csv, set_aside
+from stallwise.sources.schemas import SCHEMAS
+
+
+def test_holes_of_the_bands_are_found():
+    assert [str(h) for h in FREIGHT.holes()] == ["freight (-inf, 0)", "freight (0, 1)", "freight (20, 21)", "freight (40, 41)", "freight (60, 61)"]
+    assert [str(h) for h in LATENESS.holes()] == ["on_time 0 and delay_days (-inf, 0]"]
+    assert {str(h) for h in SEGMENTS.holes()} == {"r 2 and f 1 and m [1, 5]", "r 3 and f [3, 5] and m [1, 5]"}
+    assert not FREIGHT.overlaps() and not FREIGHT.unreachable() and not SEGMENTS.unreachable()
+    champions = {str(region) for region, labels in SEGMENTS.overlaps() if labels == ("Champion", "Loyal Customer")}
+    assert champions == {"r 5 and f 5 and m 5", "r 5 and f 5 and m 4", "r 4 and f 5 and m 5"}
+
+
+def test_compiled_columns_equal_the_reports_own(spark):
+    scores = spark.createDataFrame(list(product(range(1, 6), repeat=3)), "r int, f int, m int")
+    columns = {name: F.col(name) for name in "rfm"}
+    compiled = scores.select(SEGMENTS.compile(columns, "Others").alias("a"), bands.customer_segment("r", "f", "m").alias("b"))
+    assert compiled.filter("a <> b").isEmpty() and compiled.count() == 125
+    amounts = spark.range(-300, 12_000).select(F.col("id").alias("c")).union(spark.createDataFrame([(None,)], "c bigint"))
+    band = bands.freight_label("band")
+    both = amounts.withColumn("band", bands.freight_band("c")).select(FREIGHT.compile({"freight": F.col("c") / 100}, "80+ BRL").alias("a"), band.alias("b"))
+    assert both.filter("a <> b").isEmpty() and both.select("a").distinct().count() == 6
+    days = spark.range(-40, 40).select(F.col("id").alias("delay_days"), F.explode(F.array(F.lit(0), F.lit(1))).alias("on_time"))
+    late = LATENESS.compile({"on_time": F.col("on_time"), "delay_days": F.col("delay_days")}, bands.LATEST_BAND)
+    assert days.filter(late != bands.lateness_band("on_time", "delay_days")).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_the_sweep_agrees_with_trying_many_values(seed):
+    draw = random.Random(seed)
+    interval = lambda: Interval(*sorted([draw.randrange(6), draw.randrange(6)]), draw.random() < 0.3, draw.random() < 0.3)
+    rules = [Rule(draw.choice("ABC"), {n: interval() for n in "xy" if draw.random() < 0.8}) for _ in range(4)]
+    whole = frozenset("y") if seed % 2 else frozenset()
+    table = DecisionTable({"x": Interval(0, 5), "y": Interval()}, rules, whole)
+    values = {"x": [k / 4 for k in range(21)], "y": [float(k) for k in range(-2, 8)] if whole else [k / 4 for k in range(-8, 32)]}
+    holes, first = table.holes(), set()
+    for x, y in product(values["x"], values["y"]):
+        fits = [i for i, r in enumerate(rules) if all(box.holds({"x": x, "y": y}[n]) for n, box in r.box.items())]
+        inside = [h for h in holes if h.box["x"].holds(x) and h.box["y"].holds(y)]
+        assert len(inside) == (0 if fits else 1), (x, y)
+        first.update(fits[:1])
+    assert table.unreachable() == [r for i, r in enumerate(rules) if i not in first]
+
+
+def test_dead_rules_and_infinite_ends():
+    table = DecisionTable({"x": Interval()}, [Rule("a", {"x": Interval(high=3)}), Rule("b", {"x": exactly(2)}), Rule("c", {"x": Interval(3, inf, True)})])
+    assert table.holes() == [] and [r.label for r in table.unreachable()] == ["b"]
+    assert str(DecisionTable({"x": Interval()}, []).holes()[0]) == "x (-inf, inf)"
+
+
+def test_rows_in_holes_are_counted(spark):
+    made = [order("o1", "c1", "delivered", "2018-01-01", "2018-01-02", "2018-01-05 10:00", "2018-01-05 09:00")]
+    found = {(r[0], r[1]): r[2] for r in rows(decision_coverage(marketplace(spark, orders=made)))}
+    assert found["lateness", "on_time 0 and delay_days (-inf, 0]"] == 1 and sum(found.values()) == 1
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 20])
+def test_witnesses_do_not_depend_on_partitions(spark, partitions):
+    draw = random.Random(1)
+    data = [(draw.randrange(500), draw.choice([None, "a", "b"]), draw.randrange(10)) for _ in range(900)] + [(7, "a", 9)] * 300
+    df = spark.createDataFrame(data, "k int, s string, v int").repartition(partitions)
+    rules = {"big": F.col("v") >= 8, "none": F.col("v") > 99, "unknown": F.col("s").isNull() & (F.col("v") == 0), "null": F.lit(None).cast("boolean")}
+    holds = {"big": lambda r: r[2] >= 8, "none": lambda r: False, "unknown": lambda r: r[1] is None and r[2] == 0, "null": lambda r: False}
+    expected = set()
+    for name, rule in holds.items():
+        broken = [r for r in data if rule(r)]
+        keys = sorted({f"{r[0]},{r[1] or ''}" for r in broken}, key=lambda key: (hashlib.md5(key.encode()).hexdigest(), key))[:4]
+        expected |= {(name, len(broken), i, key) for i, key in enumerate(keys, 1)} or {(name, 0, None, None)}
+    assert set(rows(rule_witnesses(df, rules, ["k", "s"], 4))) == expected
+
+
+def test_counts_and_witnesses_take_one_scan(spark, tmp_path, monkeypatch):
+    from stallwise.operators import witnesses
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    stored = []
+    keep = witnesses.materialise
+    monkeypatch.setattr(witnesses, "materialise", lambda df: stored.append(df) or keep(df))
+    found = rule_witnesses(spark.read.parquet(str(tmp_path / "t")), {"odd": F.col("id") % 2 == 1, "late": F.col("id") > 900}, ["id"], 2)
+    assert sorted((r[0], r[1]) for r in rows(found)) == [("late", 99), ("late", 99), ("odd", 500), ("odd", 500)]
+    (gathered,) = stored
+    names = [n.nodeName() for n in _nodes(gathered._jdf.queryExecution().executedPlan())]
+    assert names.count("Scan parquet ") == 1 and not any("Exchange" in n for n in names)
+    assert gathered.count() <= 2 * 3 * gathered.rdd.getNumPartitions()
+
+
+HEADER = "order_id,payment_type,payment_value,payment_installments\n"
+
+
+def test_refused_rows_keep_their_text_and_reasons(spark, tmp_path):
+    (tmp_path / "p.csv").write_text(
+        HEADER + 'a,boleto,1.50,1\nb,boleto,much,two\nc,"x, ""y""",2.505,1\nd,,,\ne,boleto,3,1,surplus\nf,boleto\ng,voucher,4,1.0\n'
+    )
+    found = read_csv(spark, str(tmp_path / "p.csv"), "order_payments", str(tmp_path / "split"))
+    assert found.kept.schema == SCHEMAS["order_payments"]
+    kept = {r[0]: tuple(r[1:]) for r in rows(found.kept)}
+    refused = {r.order_id: r for r in found.refused.collect()}
+    assert kept.keys() == {"a", "d"} and kept["d"] == (None, None, None)
+    assert refused.keys() == {"b", "c", "e", "f", "g"}
+    assert refused["b"].reasons == ["not a decimal(18,2) in payment_value", "not a int in payment_installments"]
+    assert refused["b"].payment_value == "much" and refused["c"].payment_type == 'x, "y"'
+    assert refused["e"].reasons == [MALFORMED] and refused["e"].record == "e,boleto,3,1,surplus" and refused["f"].reasons == [MALFORMED]
+
+
+def test_kept_and_refused_add_up(spark, tmp_path):
+    wide = spark.range(100).select(
+        F.col("id").cast("string").alias("order_id"), F.lit(None).cast("string").alias("payment_type"),
+        (F.col("id") / 8).alias("payment_value"), F.when(F.col("id") % 10 == 0, 2**40).otherwise(F.col("id")).alias("payment_installments"),
+        F.lit("more").alias("further"),
+    )
+    found = set_aside(wide, "order_payments", str(tmp_path / "split"))
+    assert found.kept.count() == 90 and found.refused.count() == 10
+    assert {r.reasons[0] for r in found.refused.collect()} == {"not a int in payment_installments"}
+    with pytest.raises(ValueError, match="lacks payment_value"):
+        set_aside(wide.drop("payment_value"), "order_payments", str(tmp_path / "other"))
+    nothing = set_aside(wide.limit(0), "order_payments", str(tmp_path / "empty"))
+    assert nothing.kept.count() == nothing.refused.count() == 0
+
+
+def test_a_clean_table_is_kept_whole(spark, tmp_path):
+    clean = spark.createDataFrame([("a", datetime(2018, 1, 1))], "review_id string, review_creation_date timestamp_ntz")
+    clean = clean.select("review_id", F.lit("o").alias("order_id"), F.lit(5).alias("review_score"), F.lit(None).cast("string").alias("review_comment_message"), "review_creation_date")
+    found = set_aside(clean, "order_reviews", str(tmp_path / "split"))
+    assert rows(found.kept) == rows(clean) and found.refused.isEmpty()
+
+
+def test_sketches_of_any_days_unite(spark):
+    days = [f"2018-0{1 + k % 6}-{1 + k % 28:02d}" for k in range(4000)]
+    m = marketplace(
+        spark,
+        orders=[order(f"o{k % 3500}", f"c{k % 1700}", "delivered" if k % 9 else "shipped", day) for k, day in enumerate(days)],
+        customers=[customer(f"c{k}", f"p{k % 900}", f"S{k % 5}" if k % 7 else None) for k in range(1700)],
+    )
+    sketches = distinct_counts.daily_sketches(m)
+    whole = distinct_counts.approximate_counts(sketches, F.lit("all").alias("period")).first()
+    orders, persons = distinct_counts._orders(m).agg(F.countDistinct("order_id"), F.countDistinct("customer_unique_id")).first()
+    assert abs(whole.orders_estimate - orders) <= distinct_counts.BOUND * orders
+    assert abs(whole.persons_estimate - persons) <= distinct_counts.BOUND * persons
+    found = distinct_counts.distinct_by_month(m).collect()
+    assert len(found) > 20 and all(r.orders_within_bound and r.persons_within_bound for r in found)
+    assert sketches.agg(F.max(F.length("orders"))).first()[0] < 20_000
+
+
+def test_sketches_of_many_keys_are_within_the_bound(spark):
+    n = 60_000
+    df = spark.range(n).select((F.col("id") % 50).alias("day"), F.col("id").cast("string").alias("k"))
+    daily = df.groupBy("day").agg(F.hll_sketch_agg("k", distinct_counts.PRECISION).alias("s"))
+    for least in (0, 25, 40):
+        estimate = daily.filter(F.col("day") >= least).agg(F.hll_sketch_estimate(F.hll_union_agg("s"))).first()[0]
+        exact = n // 50 * (50 - least)
+        assert abs(estimate - exact) <= distinct_counts.BOUND * exact
