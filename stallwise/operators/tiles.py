@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4096
+MOST_ROWS = 16 * SAMPLE_ROWS  # of a sample, however many rounds move nothing
 _HASH_SPAN = 1 << 30
 
 
@@ -140,8 +141,8 @@ def _tile(searches: list[_Search]) -> Column:
 def _resolve(positions: DataFrame, searches: list[_Search]) -> int:
     """Narrow all intervals to their boundary rows; gives the number of rounds.
 
-    A round that moves nothing has had an unlucky sample and is repeated with twice
-    as large a one; with whole intervals drawn it means that keys are equal.
+    A round that moves nothing has had an unlucky sample and is repeated with twice as large a one, up to
+    ``MOST_ROWS``; with whole intervals drawn it means that keys are equal, and from there on Spark looks for equal keys.
     """
     rounds, target = 0, SAMPLE_ROWS
     while left := [s for s in searches if s.found is None]:
@@ -151,12 +152,21 @@ def _resolve(positions: DataFrame, searches: list[_Search]) -> int:
         if [s.size for s in left] == sizes and all(s.found is None for s in left):
             if target >= max(sizes):
                 raise ValueError(f"sort keys of {left[0].name} do not tell rows apart; add a tie key")
-            target *= 2
+            if target >= MOST_ROWS:
+                _refuse_equal_keys(positions, left)
+            target = min(2 * target, MOST_ROWS)
         else:
             target = SAMPLE_ROWS
     return rounds
 
 
+def _refuse_equal_keys(positions: DataFrame, searches: list[_Search]) -> None:
+    for search in searches:
+        equal = positions.filter(search.inside()).groupBy(search.name).count().filter("count > 1")
+        if not equal.isEmpty():
+            raise ValueError(f"sort keys of {search.name} do not tell rows apart; add a tie key")
+
+
 def _narrow(positions: DataFrame, searches: list[_Search], turn: int, target: int) -> None:
     """Sample the intervals, then count the rows before each proposed point.
 
