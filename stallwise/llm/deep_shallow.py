@@ -2,7 +2,7 @@
 
 The shallow part is a multikey quicksort whose characters are 8-byte words: a group is split in
 three by a pivot word, and the middle goes on at the next word. Groups that are still together at
-``SHALLOW_BYTES``, or are small, are ordered by a blind trie: strings are inserted by branching
+the shallow depth, or are small, are ordered by a blind trie: strings are inserted by branching
 bytes alone and compared once, with the leaf they end at.
 """
 
@@ -74,10 +74,12 @@ def _by_trie(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     return group[trie.ordered()]
 
 
-def sorted_order(rows: np.ndarray) -> np.ndarray:
-    """Order of the rows of a matrix of bytes, each row a string; equal rows in input order."""
+def sorted_order(rows: np.ndarray, shallow: int = SHALLOW_BYTES) -> np.ndarray:
+    """Order of the rows of a matrix of bytes, each row a string; equal rows in input order.
+
+    ``shallow`` is the depth, in bytes, of the multikey quicksort: a multiple of 8."""
     count, size = rows.shape
-    depth = min(SHALLOW_BYTES, size - size % 8)
+    depth = min(shallow, size - size % 8)
     words = np.ascontiguousarray(rows[:, :depth]).view(">u8").astype(np.uint64) if depth else np.zeros((count, 0), np.uint64)
     out: list[np.ndarray] = []
     stack = [(np.arange(count), 0)]

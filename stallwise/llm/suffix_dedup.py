@@ -17,10 +17,16 @@ documents, may overlap, and are judged on the input.
    the bytes before it read backwards, by deep-shallow sorting (:mod:`deep_shallow`). Their common
    prefixes say, for each place of a window around the anchor, which windows are equal; all but the
    first are repeated.
-4. The repeated windows of a document meet its text again, and are cut out.
+4. An anchor with more than ``SPLIT_ROWS`` different neighbourhoods is sorted in lots of about that many.
+   A window that is the first of its lot, but not of all lots, is repeated too: the lots' first windows meet
+   by a 128-bit hash, so what is equal inside a lot has been combined before that exchange.
+5. The repeated windows of a document meet its text again, and are cut out.
 
 A passage in n documents gives n rows of its few anchors, never pairs. Sorting goes through a task's
-anchors in blocks of about ``BLOCK_ROWS`` suffixes, cut between anchors.
+lots in blocks of about ``BLOCK_ROWS`` suffixes, cut between lots, so a task holds at most some
+``BLOCK_ROWS + SPLIT_ROWS`` of them, whatever share of the table one anchor has. In the exchange of step 2 the
+``HOT_ANCHORS`` most frequent anchors of one text in ``SAMPLE_ONE_IN`` are dealt out by neighbourhood; that
+sample only spreads the work, as what it misses is judged alike.
 
 Ids are whole numbers. Defined results: NULL and empty texts have no bytes; NULL ids come first;
 rows with equal ids are ordered by their text's hash, and repeated rows (equal id and text) are one
@@ -32,13 +38,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.deep_shallow import common_prefixes, sorted_order
+from stallwise.llm.deep_shallow import SHALLOW_BYTES, common_prefixes, sorted_order
 from stallwise.llm.tables import map_batches, materialise, read, whole_row
 from stallwise.llm.words import SpanHashes, mix, text_chunks
 
@@ -46,6 +54,10 @@ LENGTH = 100
 ANCHOR = 32
 BLOCK_ROWS = 60_000
 ROWS_PER_TASK = 150_000
+SPLIT_ROWS = 20_000
+HOT_ANCHORS = 1_000
+SAMPLE_ONE_IN = 64
+BROADCAST_ROWS = 100_000
 
 _REACH = LENGTH - ANCHOR  # bytes of a window before the anchor, at most
 _FIRST_ID = -(1 << 63)
@@ -85,10 +97,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text, places - offsets[text], hashes[places].view(np.int64), around.view(np.int64)
 
 
-def _anchor_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Anchors of a batch; all but the first with one neighbourhood are ``settled``: repeated in full.
+def _anchor_batch(batch: pa.RecordBatch, hot: dict[int, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Anchors of a batch; all but the first with one neighbourhood are settled (``part`` -1): repeated in full.
 
-    A settled one has some other number in place of its anchor's.
+    A settled one has some other number in place of its anchor's. Anchors in ``hot`` have that many parts, from 1,
+    by neighbourhood; all others have part 0.
     """
     names = [name for name in batch.schema.names if name != "text"]
     found: list[list[np.ndarray]] = [[], [], [], []]
@@ -108,23 +121,30 @@ def _anchor_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         again[1:] &= key[1:] == key[:-1]
     # settled ones need no neighbours: they take the same exchange, dealt out evenly
     spread = mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[0].view(np.uint64)).view(np.int64)
+    part = np.zeros(len(row), np.int32)
+    if hot:
+        known = np.array(sorted(hot), np.int64)
+        at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+        parts = np.array([hot[number] for number in known.tolist()], np.uint64)[at]
+        part = np.where(known[at] == anchor, (mix(around.view(np.uint64)) % parts).astype(np.int32) + 1, part)
+    part = np.where(settled, np.int32(-1), part)
     anchor = np.where(settled, spread, anchor)
     once = ~again  # a repeated row of the table is one text
     columns = {name: key[once] for name, key in zip(names, keys)}
-    columns |= {"place": place[once].astype(np.int32), "anchor": anchor[once], "around": around[once], "settled": settled[once]}
+    columns |= {"place": place[once].astype(np.int32), "anchor": anchor[once], "around": around[once], "part": part[once]}
     yield from pa.table({name: pa.array(values) for name, values in columns.items()}).to_batches(max_chunksize=50_000)
 
 
 def _piece_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The bytes around the wanted anchors of each text: before it (at most 68) and from it on (100)."""
+    """The bytes around the wanted anchors of each text: before it (at most 68) and from it on (100), by ``lot``."""
     texts, found = batch.column("text"), batch.column("found")
     names = [name for name in batch.schema.names if name not in ("text", "found")]
     keys: dict[str, list] = {name: [] for name in names}
-    out: dict[str, list] = {"anchor": [], "place": [], "before": [], "after": []}
+    out: dict[str, list] = {"lot": [], "split": [], "place": [], "before": [], "after": []}
     held = 0
 
     def flush() -> pa.RecordBatch:
-        kinds = {"anchor": pa.int64(), "place": pa.int32(), "before": pa.binary(), "after": pa.binary()}
+        kinds = {"lot": pa.int64(), "split": pa.bool_(), "place": pa.int32(), "before": pa.binary(), "after": pa.binary()}
         made = {name: pa.array(values, batch.schema.field(name).type) for name, values in keys.items()}
         made |= {name: pa.array(values, kinds[name]) for name, values in out.items()}
         for values in (*keys.values(), *out.values()):
@@ -134,10 +154,11 @@ def _piece_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for row in range(batch.num_rows):
         raw = texts[row].as_buffer().to_pybytes()
         wanted = found[row].values
-        anchor, place = wanted.field("anchor").to_pylist(), wanted.field("place").to_pylist()
+        place = wanted.field("place").to_pylist()
         for name in names:
             keys[name].extend([batch.column(name)[row].as_py()] * len(place))
-        out["anchor"].extend(anchor)
+        for name in ("lot", "split"):
+            out[name].extend(wanted.field(name).to_pylist())
         out["place"].extend(place)
         out["before"].extend(raw[max(p - _REACH, 0) : p] for p in place)
         out["after"].extend(raw[p : p + LENGTH] for p in place)
@@ -168,7 +189,8 @@ def repeated_windows(before: pa.Array, after: pa.Array) -> np.ndarray:
     count = len(after)
     tails, reach = _matrix(after, LENGTH, backwards=False)
     heads, back = _matrix(before, _REACH, backwards=True)
-    tail_order, head_order = sorted_order(tails), sorted_order(heads)
+    # suffixes of one anchor begin alike: the shallow part goes on beyond it
+    tail_order, head_order = sorted_order(tails, ANCHOR + SHALLOW_BYTES), sorted_order(heads)
     tail_common, head_common = common_prefixes(tails, tail_order), common_prefixes(heads, head_order)
     again = np.zeros((count, _REACH + 1), bool)
     tail_class, head_class = np.empty(count, np.int64), np.empty(count, np.int64)
@@ -185,9 +207,32 @@ def repeated_windows(before: pa.Array, after: pa.Array) -> np.ndarray:
     return again
 
 
+def _lot_firsts(block: pa.Table, again: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The windows of split anchors that are the first of their lot, with their hash."""
+    offsets = np.arange(_REACH + 1)[None, :]
+    back, reach = (pc.binary_length(block[name]).to_numpy()[:, None] for name in ("before", "after"))
+    open_ = ~again & block["split"].to_numpy()[:, None] & (back >= offsets) & (reach >= LENGTH - offsets)
+    rows, found = np.nonzero(open_)
+    for begin in range(0, len(rows), 50_000):
+        row, o = rows[begin : begin + 50_000], found[begin : begin + 50_000]
+        digests = bytearray()
+        last, around, at = -1, b"", 0
+        for i, offset in zip(row.tolist(), o.tolist()):
+            if i != last:
+                before = block["before"][i].as_py()
+                last, around, at = i, before + block["after"][i].as_py(), len(before)
+            digests += blake2b(around[at - offset : at - offset + LENGTH], digest_size=16).digest()
+        hashes = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
+        low = (block["place"].to_numpy()[row] - o).astype(np.int32)
+        keys = {name: block[name].take(pa.array(row)).combine_chunks() for name in names}
+        spans = {"low": pa.array(low), "high": pa.array(low + np.int32(LENGTH))}
+        yield pa.RecordBatch.from_pydict(keys | spans | {"hash_a": pa.array(hashes[:, 0]), "hash_b": pa.array(hashes[:, 1])})
+
+
 def _sort_block(block: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
     block = block.sort_by([(name, "ascending") for name in (*names, "place")]).combine_chunks()
     again = repeated_windows(block["before"].chunk(0), block["after"].chunk(0))
+    yield from _lot_firsts(block, again, names)
     edges = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, first = np.nonzero(edges == 1)
     last = np.nonzero(edges == -1)[1] - 1
@@ -196,24 +241,27 @@ def _sort_block(block: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
     place = block["place"].to_numpy()[row]
     keys = {name: block[name].take(pa.array(row)).combine_chunks() for name in names}
     spans = {"low": pa.array((place - last).astype(np.int32)), "high": pa.array((place - first + LENGTH).astype(np.int32))}
-    yield from pa.table(keys | spans).to_batches()
+    no_hash = {name: pa.nulls(len(row), pa.int64()) for name in ("hash_a", "hash_b")}
+    yield from pa.table(keys | spans | no_hash).to_batches()
 
 
 def _sort_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated windows; rows come sorted by anchor and are taken in blocks of whole anchors."""
+    """Spans of repeated windows, and with a hash those that are the first of a split anchor's lot.
+
+    Rows come sorted by lot and are taken in blocks of whole lots."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        names = [n for n in batch.schema.names if n not in ("anchor", "place", "before", "after")]
+        names = [n for n in batch.schema.names if n not in ("lot", "split", "place", "before", "after")]
         while batch.num_rows:
             room = max(BLOCK_ROWS - size, 0)
             if batch.num_rows <= room:
                 held.append(batch)
                 size += batch.num_rows
                 break
-            # close the block at the next new anchor
-            last = held[-1]["anchor"][-1].as_py() if held and not room else batch["anchor"][room - 1].as_py()
-            ahead = batch["anchor"].to_numpy()[room:]
+            # close the block at the next new lot
+            last = held[-1]["lot"][-1].as_py() if held and not room else batch["lot"][room - 1].as_py()
+            ahead = batch["lot"].to_numpy()[room:]
             differs = np.flatnonzero(ahead != last)
             cut = room + (int(differs[0]) if len(differs) else len(ahead))
             if cut:
@@ -237,12 +285,31 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[str]
     return rows.withColumn("body", F.xxhash64("text")).select("id", "body", "text"), ["id", "body"]
 
 
+def _hot_anchors(rows: DataFrame, keys: list[str], schema: str) -> dict[int, int]:
+    """The most frequent anchors of a sample of the texts, with the number of parts to deal them in."""
+    sample = rows.filter(F.pmod(F.xxhash64(*keys), F.lit(SAMPLE_ONE_IN)) == 0)
+    counted = map_batches(sample, _anchor_batch, schema).filter("part = 0").groupBy("anchor").agg(F.count("*").alias("n"))
+    often = counted.filter(F.col("n") * SAMPLE_ONE_IN > SPLIT_ROWS).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS)
+    return {r["anchor"]: -(-r["n"] * SAMPLE_ONE_IN // SPLIT_ROWS) for r in often.collect()}
+
+
+def _in_lots(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """``ends`` with their ``lot``: one for each anchor, or several, ``split``, of about ``SPLIT_ROWS`` rows."""
+    large = ends.groupBy("anchor").agg(F.count("*").alias("rows")).filter(F.col("rows") > SPLIT_ROWS)
+    large = materialise(large.select("anchor", F.ceil(F.col("rows") / SPLIT_ROWS).alias("lots")))
+    dealt = ends.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "anchor", "left")
+    part = F.pmod(F.xxhash64(*keys, "place"), F.col("lots"))
+    lot = F.when(F.col("lots").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", part))
+    return dealt.select(*keys, "place", lot.alias("lot"), F.col("lots").isNotNull().alias("split"))
+
+
 def find_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per text with repeats: its keys, ``whole`` (anchors whose windows are all repeated) and
     ``spans`` (low, high) of other repeated windows."""
     plain = ", ".join(f"{name} bigint" for name in keys)
-    found = map_batches(rows, _anchor_batch, f"{plain}, place int, anchor bigint, around bigint, settled boolean")
-    group = Window.partitionBy("anchor", "settled").orderBy("around", *keys, "place")
+    schema = f"{plain}, place int, anchor bigint, around bigint, part int"
+    found = map_batches(rows, partial(_anchor_batch, hot=_hot_anchors(rows, keys, schema)), schema)
+    group = Window.partitionBy("anchor", "part").orderBy("around", *keys, "place")
     everything = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     earlier = [F.lag(name).over(group).alias(f"last_{name}") for name in ("around", *keys, "place")]
     seen = found.select(
@@ -252,24 +319,30 @@ def find_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
     same_row = F.lit(True)
     for name in ("around", *keys, "place"):
         same_row = same_row & (F.col(name) == F.col(f"last_{name}"))
-    seen = seen.filter(F.col("settled") | ~F.coalesce(same_row, F.lit(False)))
-    seen = seen.withColumn("whole", F.col("settled") | F.coalesce(F.col("around") == F.col("last_around"), F.lit(False)))
-    seen = materialise(
-        seen.filter(F.col("whole") | (F.col("least") != F.col("most"))).select(*keys, "place", "anchor", "whole")
-    )
+    settled = F.col("part") == -1
+    seen = seen.filter(settled | ~F.coalesce(same_row, F.lit(False)))
+    seen = seen.withColumn("whole", settled | F.coalesce(F.col("around") == F.col("last_around"), F.lit(False)))
+    # a part of a hot anchor does not show whether another part has other neighbourhoods: it goes on
+    seen = seen.filter(F.col("whole") | (F.col("part") > 0) | (F.col("least") != F.col("most")))
+    seen = materialise(seen.select(*keys, "place", "anchor", "whole"))
     ends = seen.filter(~F.col("whole"))
-    wanted = ends.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
+    wanted = _in_lots(ends, keys).groupBy(*keys).agg(F.collect_list(F.struct("lot", "split", "place")).alias("found"))
     pieces = map_batches(
         rows.dropDuplicates(keys).join(wanted, keys) if len(keys) > 1 else rows.join(wanted, keys),
         _piece_batch,
-        f"{plain}, anchor bigint, place int, before binary, after binary",
+        f"{plain}, lot bigint, split boolean, place int, before binary, after binary",
     )
     tasks = max(1, -(-ends.count() // ROWS_PER_TASK))
     tasks = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_pieces = pieces.repartition(tasks, "anchor").sortWithinPartitions("anchor")
-    spans = sorted_pieces.mapInArrow(_sort_partition, f"{plain}, low int, high int")
+    sorted_pieces = pieces.repartition(tasks, "lot").sortWithinPartitions("lot")
+    spans = materialise(sorted_pieces.mapInArrow(_sort_partition, f"{plain}, low int, high int, hash_a bigint, hash_b bigint"))
+    firsts = spans.filter(F.col("hash_a").isNotNull())
+    # a window around two anchors comes twice, at one place: that is one occurrence
+    nth = F.rank().over(Window.partitionBy("hash_a", "hash_b").orderBy(*keys, "low"))
+    firsts = firsts.withColumn("nth", nth).filter(F.col("nth") > 1).drop("nth")
     whole = seen.filter("whole").groupBy(*keys).agg(F.collect_list("place").alias("whole"))
-    part = spans.groupBy(*keys).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    repeated = spans.filter(F.col("hash_a").isNull()).unionByName(firsts)
+    part = repeated.groupBy(*keys).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return whole.join(part, keys, "full")
 
 

@@ -91,10 +91,10 @@ def test_sorting_in_small_blocks(spark, monkeypatch):
     found = pa.Table.from_batches(S._anchor_batch(batch)).to_pylist()
     wanted = {}
     for r in found:
-        wanted.setdefault(r["id"], []).append({"anchor": r["anchor"], "place": r["place"]})
-    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("place", pa.int32())]))
+        wanted.setdefault(r["id"], []).append({"lot": r["anchor"], "split": False, "place": r["place"]})
+    kind = pa.list_(pa.struct([("lot", pa.int64()), ("split", pa.bool_()), ("place", pa.int32())]))
     rows = pa.RecordBatch.from_pydict({"id": pa.array(list(wanted)), "text": pa.array([texts[i] for i in wanted]), "found": pa.array(list(wanted.values()), kind)})
-    pieces = pa.Table.from_batches(S._piece_batch(rows)).sort_by("anchor")
+    pieces = pa.Table.from_batches(S._piece_batch(rows)).sort_by("lot")
     spans = [r for size in (7,) for b in S._sort_partition(iter(pieces.to_batches(max_chunksize=size))) for r in b.to_pylist()]
     again = {i: [False] * len(t.encode()) for i, t in enumerate(texts)}
     for r in spans:
@@ -102,6 +102,29 @@ def test_sorting_in_small_blocks(spark, monkeypatch):
     assert again == repeated_bytes([(i, t.encode()) for i, t in enumerate(texts)])
 
 
+@pytest.mark.parametrize("one_in", [1, 1 << 40])
+def test_hot_anchors_are_split(spark, monkeypatch, one_in):
+    """Anchors of a passage in most texts go in lots and, where the sample shows them, in parts."""
+    monkeypatch.setattr(S, "SPLIT_ROWS", 12)
+    monkeypatch.setattr(S, "SAMPLE_ONE_IN", one_in)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 20)
+    draw = rng(9)
+    line, other = letters(draw, 160), letters(draw, 110)
+    contexts = [letters(draw, 40) for _ in range(25)]  # some stand in several texts, before or after the passage
+    rows = [(i, draw.choice(contexts) + letters(draw, draw.randrange(60)) + line + draw.choice(contexts)) for i in range(200)]
+    rows += [(300 + i, draw.choice(contexts) + line[: 100 + i % 50] + letters(draw, 30) + other) for i in range(100)]
+    rows += [(500 + i, line + line) for i in range(20)]
+    assert check(spark, rows) > 10_000
+    keyed, keys = S._keys(documents(spark, rows), "doc_id", "text")
+    schema = "id bigint, place int, anchor bigint, around bigint, part int"
+    hot = S._hot_anchors(keyed, keys, schema)
+    assert bool(hot) == (one_in == 1)
+    found = S.map_batches(keyed, S._anchor_batch, schema).filter("part = 0")
+    lots = S._in_lots(found.select("id", "place", "anchor"), keys)
+    held = [r["count"] for r in lots.filter("split").groupBy("lot").count().collect()]
+    assert held and max(held) < 4 * S.SPLIT_ROWS < max(r["count"] for r in found.groupBy("anchor").count().collect())
+
+
 def test_edges(spark):
     long = letters(rng(6), 300)
     rows = [*EDGES, (7, long), (7, long), (8, long + "!"), (None, long), (7, "z" + long)]
