@@ -38,6 +38,7 @@ def frame(spark, values, partitions=4):
 @pytest.fixture
 def small_steps(monkeypatch):
     """Force several sampling rounds on small data."""
+    monkeypatch.setattr(tiles, "FIRST_ROWS", 80)
     monkeypatch.setattr(tiles, "SAMPLE_ROWS", 40)
 
 
@@ -60,6 +61,19 @@ def test_one_value_holds_almost_all_rows(spark, small_steps):
     assert {r["cnt"] for r in found.groupBy("up").agg(F.count("*").alias("cnt")).collect()} == {200}
 
 
+def test_the_table_is_passed_three_times(spark, small_steps, monkeypatch):
+    """Sampled, counted and cut; later rounds read the stored intervals, which hold a part of the rows."""
+    read, stored = [], []
+    narrow, store = tiles._narrow, tiles.materialise
+    monkeypatch.setattr(tiles, "_narrow", lambda positions, *rest: (read.append(positions.count()), narrow(positions, *rest)))
+    monkeypatch.setattr(tiles, "materialise", lambda df: stored.append(store(df)) or stored[-1])
+    monkeypatch.setattr(tiles, "FIRST_ROWS", 1500)
+    df = frame(spark, [None if i % 17 == 0 else i * 7919 % 101 for i in range(6000)], 8)
+    assert sorted(rows(with_tiles(df, 5, ORDERINGS))) == sorted(rows(by_window(df, 5)))
+    assert len(stored) == 1 and read[0] == 6000 and len(read) > 2
+    assert set(read[1:]) == {stored[0].count()} and stored[0].count() < 6000
+
+
 def test_boundaries_come_from_counting_rounds(spark, monkeypatch):
     """Also on the smallest of the test tables, where whole intervals fit the sample."""
     rounds = []
@@ -70,6 +84,7 @@ def test_boundaries_come_from_counting_rounds(spark, monkeypatch):
 
 
 def test_an_unlucky_sample_is_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "FIRST_ROWS", 1)
     monkeypatch.setattr(tiles, "SAMPLE_ROWS", 1)
     df = frame(spark, range(300))
     assert sorted(rows(with_tiles(df, 5, ORDERINGS))) == sorted(rows(by_window(df, 5)))
