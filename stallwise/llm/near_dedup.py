@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from stallwise.llm.components import components
 from stallwise.llm.tables import map_batches, materialise, read, unpacked, whole_row
-from stallwise.llm.words import ALNUM_LOWER, Words, find_words, mix, text_chunks, window_hashes
+from stallwise.llm.words import ALNUM_LOWER, Words, find_words, mix, sequence_hashes, text_chunks, window_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -112,17 +112,12 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts
 
 
 def _content_hash(words: Words) -> np.ndarray:
-    """Hash of each text's word sequence."""
-    n = len(words.hash)
-    step = np.uint64(0xD6E8FEB86659FD93)
-    back = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-    power, inverse = np.full(n + 1, step), np.full(n + 1, back)
-    power[0] = inverse[0] = 1
-    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hash * power[:n], out=sums[1:])
-    first = words.firsts()
-    return mix((sums[first + words.counts] - sums[first]) * inverse[first] + words.counts.astype(np.uint64))
+    """Hash of each text's word sequence, 0 for a text without words."""
+    out = np.zeros(len(words.counts), np.uint64)
+    some = words.counts > 0
+    first = words.firsts()[some]
+    out[some] = sequence_hashes(words.hash, first, first + words.counts[some])
+    return out
 
 
 def _sign_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,16 @@
 
 A chunk is a run of whole texts of about ``CHUNK_BYTES`` together (one longer text is a chunk
 of its own), so the working set is bounded by the chunk and never by the batch. Hashes are
-64 bits: a polynomial of the bytes, mixed.
+64 bits. Those of words and word sequences add up one mixed value for each part and its place, so
+no arithmetic relation between two of them makes them agree. Those of other spans are a polynomial of
+the bytes, mixed; it is for spans of a few hundred bytes, as some pairs of longer ones agree by construction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,7 @@ CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64)
 _inverse_powers = np.ones(1, np.uint64)
 
@@ -60,8 +64,20 @@ def _reserve(n: int) -> None:
         _inverse_powers = np.multiply.accumulate(steps)
 
 
+def sequence_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run ``values[start:end]``; runs are in order, apart from each other and not empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    sizes = end - start
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(begins, sizes)
+    parts = values[np.repeat(start, sizes) + place].astype(np.uint64)
+    parts = mix(parts * _BASE + place.astype(np.uint64) * _PLACE)
+    return mix(np.add.reduceat(parts, begins) + sizes.astype(np.uint64))
+
+
 class SpanHashes:
-    """Hashes of any byte spans of a buffer, from one running polynomial."""
+    """Hashes of any short byte spans of a buffer, from one running polynomial."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -87,13 +103,17 @@ class Chunk:
 
 @dataclass(frozen=True)
 class Words:
-    """Words in text order: the chunk's text each is in, its bytes and its hash."""
+    """Words in text order: the chunk's text each is in, its bytes and, once asked for, its hash."""
 
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
     counts: np.ndarray
+    folded: np.ndarray
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return sequence_hashes(self.folded, self.start, self.end)
 
     def firsts(self) -> np.ndarray:
         """Index of each text's first word."""
@@ -138,7 +158,7 @@ def find_words(chunk: Chunk, table: np.ndarray) -> Words:
         end = np.sort(np.concatenate([end, joined]))
     text = np.searchsorted(chunk.offsets, start, side="right") - 1
     counts = np.bincount(text, minlength=len(chunk)).astype(np.int64)
-    return Words(text, start, end, SpanHashes(folded)(start, end), counts)
+    return Words(text, start, end, counts, folded)
 
 
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(64)], np.uint64)

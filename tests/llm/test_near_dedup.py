@@ -110,3 +110,13 @@ def test_a_text_has_one_signature_in_any_chunk(size):
         text = np.concatenate([np.zeros(size, np.int64), 1 + np.repeat(np.arange(others), 10)])
         signed = N.bag_minhash(text, np.concatenate([element, more]), np.concatenate([weight, np.ones(others * 10, np.int64)]), others + 1)
         assert (signed[0] == alone).all()
+
+
+def test_complementary_sequences_are_two_nodes(spark):
+    """Sequences over two words that agree in any polynomial modulo 2 ** 64 are still different texts."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = [" ".join("xy"[b ^ turned] for b in bits) for turned in (0, 1, 0)]
+    nodes = N._signed(N._rows(documents(spark, list(enumerate(texts))), "doc_id", "text")).collect()
+    by_id = {row["id"]: row["node"] for row in nodes}
+    assert by_id[0] == by_id[2] != by_id[1]
+    check(spark, texts)

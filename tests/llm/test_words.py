@@ -51,3 +51,31 @@ def test_runs_of_texts_are_not_cut_apart(monkeypatch):
     chunks = list(W.text_chunks(pa.array(["aa", "b", "c", "dddd", "", "e"]), together=2))
     assert [(c.first, len(c)) for c in chunks] == [(0, 2), (2, 2), (4, 2)]
     assert list(W.text_chunks(pa.array([], pa.string()))) == []
+
+
+def thue_morse(size):
+    """Two sequences over 0 and 1, one the other's complement, that agree in polynomials modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return bits, [1 - b for b in bits]
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_complementary_words_and_texts_differ(size):
+    words = ["".join("xy"[b] for b in bits) for bits in thue_morse(size)]
+    texts = [" ".join(word) for word in words]
+    for table in (W.ALNUM_LOWER, W.SPACED):
+        (chunk,) = W.text_chunks(pa.array([*words, *texts]))
+        found = W.find_words(chunk, table)
+        assert found.hash[0] != found.hash[1]
+        assert len(set(found.hash[2:].tolist())) == 2
+        first = found.firsts()
+        whole = W.sequence_hashes(found.hash, first, first + found.counts)
+        assert len(set(whole.tolist())) == 4
+
+
+def test_sequence_hashes_follow_content_and_place():
+    values = np.array([3, 5, 3, 5, 9, 5, 3], np.uint64)
+    start, end = np.array([0, 2, 5]), np.array([2, 4, 7])
+    first, second, turned = W.sequence_hashes(values, start, end).tolist()
+    assert first == second != turned
+    assert W.sequence_hashes(values, start[:0], end[:0]).tolist() == []
