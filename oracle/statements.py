@@ -796,10 +796,41 @@ def further() -> dict[str, str]:
     }
 
 
+# The text columns that are keys or labels, by table expression.
+LABELS = {
+    "orders": (ORDERS, ("order_status",)),
+    "payments": (PAYMENTS, ("payment_type",)),
+    "products": (PRODUCTS, ("product_category_name",)),
+    "translation": (TRANSLATION, ("product_category_name", "product_category_name_english")),
+    "customers": (CUSTOMERS, ("customer_state",)),
+}
+
+
+def any_spelling(query: str) -> str:
+    """The query over tables whose labels are in small letters and without accents."""
+    for name, (table, columns) in LABELS.items():
+        table = table.strip("\n")
+        spelled = ", ".join(f"strip_accents(lower({column})) AS {column}" for column in columns)
+        wrapped = f"{table.replace(f'm_{name} AS', f'given_{name} AS')},\nm_{name} AS (SELECT * REPLACE ({spelled}) FROM given_{name})"
+        query = query.replace(table, wrapped)
+    return query
+
+
 def oracle_sql() -> dict[str, str]:
     plain = audits() | revenue() | rfm() | delivery() | key_audits() | further()
     # a state that has followed changes gives what a full run gives
     changed = ("monthly_gmv", "category_revenue", "delivery_by_state")
     # and neither does it matter how tables are stored
     clustered = ("monthly_gmv", "freight_vs_speed", "punctuality_vs_review")
-    return plain | {f"{name}_after_changes": plain[name] for name in changed} | {f"{name}_clustered": plain[name] for name in clustered}
+    spelled = (
+        "order_status_distribution cancelled_with_delivery_date cancelled_with_delivery_by_status orders_rule_audit "
+        "untranslated_categories foreign_key_audit payment_type_distribution split_payment_orders payment_type_revenue "
+        "installment_profile category_revenue state_revenue mom_growth delivery_by_state punctuality_vs_review "
+        "freight_vs_speed rfm_segment_summary"
+    ).split()
+    return (
+        plain
+        | {f"{name}_after_changes": plain[name] for name in changed}
+        | {f"{name}_clustered": plain[name] for name in clustered}
+        | {f"{name}_any_spelling": any_spelling(plain[name]) for name in spelled}
+    )

@@ -25,6 +25,7 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--output-format", default="parquet", choices=["parquet", "csv"])
     parser.add_argument("--blank-as-null", action="store_true", help="read blanks and zero dates as NULL")
     parser.add_argument("--multi-line", action="store_true", help="CSV comments may hold line breaks")
+    parser.add_argument("--any-spelling", action="store_true", help="compare keys and labels without regard to case and accents")
     parser.add_argument("--audit-keys", action="store_true", help="check primary keys first, for cheaper joins")
     parser.add_argument("--translation-version", type=int, help="stored version of the translations to read")
     parser.add_argument("--upsert-translations", type=int, metavar="VERSION", help="store this version first and read it")
@@ -59,6 +60,7 @@ def main() -> None:
     spark = configure(SparkSession.builder.appName("marketplace reports").getOrCreate())
     with scratch(spark):
         tables = marketplace(spark, args)
+        tables = tables.any_spelling() if args.any_spelling else tables
         tables = (tables.audited() if args.audit_keys else tables).sharing()
         for name in args.report or REPORTS:
             write_report(run_report(name, tables), f"{args.out}/{name}", args.output_format)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from stallwise.functions.text import one_spelling
 from stallwise.operators.keys import duplicate_keys
 from stallwise.session import materialise
 from stallwise.sources.readers import conform, read_table
-from stallwise.sources.schemas import PRIMARY_KEYS, SCHEMAS
+from stallwise.sources.schemas import FREE_TEXT, PRIMARY_KEYS, SCHEMAS
 from stallwise.sources.sinks import read_reference_version, versions_folder
 
 # Tables that reports fold by their primary key.
@@ -73,6 +75,21 @@ class Marketplace:
             [t for t in FOLDED_TABLES if duplicate_keys(getattr(self, t), PRIMARY_KEYS[t]).isEmpty()],
         )
 
+    def any_spelling(self) -> Marketplace:
+        """Same marketplace, read as by a database whose collation ignores case and accents.
+
+        Keys and labels come in one spelling, so filters, IN lists, groups, distinct values and key joins of
+        every report agree on it, as plain byte comparisons, and results show it. Comments stay as they are.
+        What an audit said of the primary keys no longer holds: two of them may differ in spelling only.
+        """
+
+        def load(name: str) -> DataFrame:
+            table = getattr(self, name)
+            texts = [f.name for f in table.schema if isinstance(f.dataType, T.StringType) and f.name not in FREE_TEXT]
+            return table.withColumns({column: one_spelling(column) for column in texts})
+
+        return Marketplace(load)
+
     def replace(self, **tables: DataFrame) -> Marketplace:
         """Same marketplace with some tables swapped, e.g. after an upsert."""
         return Marketplace(lambda n: tables[n] if n in tables else getattr(self, n), self._unique)

@@ -133,7 +133,37 @@ _VARIANTS: dict[str, Report] = {
     "punctuality_vs_review_clustered": from_clustered(delivery.punctuality_vs_review, "orders", "order_reviews"),
 }
 
-REPORTS: dict[str, Report] = {report.__name__: report for report in _REPORTS} | _VARIANTS
+_PLAIN: dict[str, Report] = {report.__name__: report for report in _REPORTS}
+
+
+def in_any_spelling(report: Report) -> Report:
+    """The report over keys and labels compared without regard to case and accents."""
+    return lambda marketplace: report(marketplace.any_spelling())
+
+
+# Reports that filter, group or join by text, so that the collation of the tables matters to them.
+ANY_SPELLING = (
+    "order_status_distribution",
+    "cancelled_with_delivery_date",
+    "cancelled_with_delivery_by_status",
+    "orders_rule_audit",
+    "untranslated_categories",
+    "foreign_key_audit",
+    "payment_type_distribution",
+    "split_payment_orders",
+    "payment_type_revenue",
+    "installment_profile",
+    "category_revenue",
+    "state_revenue",
+    "mom_growth",
+    "delivery_by_state",
+    "punctuality_vs_review",
+    "freight_vs_speed",
+    "rfm_segment_summary",
+)
+_SPELLED = {f"{name}_any_spelling": in_any_spelling(_PLAIN[name]) for name in ANY_SPELLING}
+
+REPORTS: dict[str, Report] = _PLAIN | _VARIANTS | _SPELLED
 
 
 def run_report(name: str, marketplace: Marketplace) -> DataFrame:

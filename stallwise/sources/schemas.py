@@ -77,3 +77,6 @@ PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "customers": ("customer_id",),
     "sellers": ("seller_id",),
 }
+
+# Text that is neither a key nor a label.
+FREE_TEXT = ("review_comment_message",)
