@@ -64,3 +64,31 @@ def test_scratch_of_the_machine_is_refused_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="do not share"):
         scratch_root(Session())
+
+
+class Cluster:
+    """A session whose master is a cluster's; its tasks run in the given one."""
+
+    def __init__(self, spark, **settings):
+        self.conf = dict(settings)
+        self.range, self.read, self._jvm, self._jsc = spark.range, spark.read, spark._jvm, spark._jsc
+        self.sparkContext = type("Context", (), {"master": "spark://elsewhere:7077", "applicationId": str(id(self)), "defaultParallelism": 3})()
+
+
+def test_a_share_by_its_path_is_used_on_a_cluster(spark, tmp_path):
+    """A mounted share has a path like a machine's own disk: it is tried."""
+    for folder in (f"{tmp_path}/plain", f"file://{tmp_path}/named"):
+        cluster = Cluster(spark, **{"spark.checkpoint.dir": folder})
+        assert scratch_root(cluster) == folder
+        cluster.range = None  # tried once
+        assert scratch_root(cluster) == folder
+    warehouse = Cluster(spark, **{"spark.sql.warehouse.dir": f"{tmp_path}/warehouse"})
+    assert scratch_root(warehouse) == f"{tmp_path}/warehouse"
+    assert not [name for _, names, _ in os.walk(tmp_path) for name in names if "probe" in name]
+
+
+def test_rows_that_tasks_left_elsewhere_refuse_a_folder(spark, tmp_path):
+    cluster = Cluster(spark, **{"spark.checkpoint.dir": str(tmp_path)})
+    cluster.range = lambda begin, end, step, tasks: spark.range(begin, end - 1, step, tasks)
+    with pytest.raises(ValueError, match="do not share"):
+        scratch_root(cluster)
